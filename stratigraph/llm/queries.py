@@ -5,19 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stratigraph.llm import licences, secrets
+from stratigraph.llm.chat import chat_digest
 from stratigraph.llm.decontaminate import contaminated
+from stratigraph.llm.language import identify
 from stratigraph.llm.linededup import line_dedup
+from stratigraph.llm.media import image_copies, rendered
 from stratigraph.llm.packing import pack
 from stratigraph.llm.quality import score_quality
 from stratigraph.llm.simhash import simhash_components
-from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")  # the tables hold no image; each vector is drawn as one
+    return image_copies(vectors.select(F.col("vec_id").alias("image_id"), rendered("embedding").alias("image")))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -30,6 +43,21 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", told), (-1, 1, "assistant", told)], rows.schema)
+    return chat_digest(rows.union(added))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -46,15 +74,32 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licences": op1_licences,
+    "op2_media": op2_media,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
+    "op6_language": op6_language,
+    "op7_secrets": op7_secrets,
+    "op8_chat": op8_chat,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
     "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {
+    "op8_chat": r"""
+        WITH all_rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        sized AS (
+            SELECT *, 2 * length(role || text) - length(translate(role || text, chr(92) || '<[', '')) + 23 AS written FROM all_rows)
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(written) AS formatted_chars
+        FROM sized GROUP BY conv_id""",
     "op10_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
