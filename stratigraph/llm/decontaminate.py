@@ -70,19 +70,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     masks = _masks_for(items)
     hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w))
     coded = items.select("item_id", hashed(F.col("tokens")).alias("item_hashes")).distinct()
-    spread = lambda df, own: [F.posexplode(F.concat(*[_seeds(F.col(own), m) for m in masks])).alias("slot", "seed")]
+    # the seeds are a column of their own: a generator over a plain column is compiled with the join after it, so the
+    # array of hashes is copied for hits only; the outer form keeps Spark from pushing a test of the seeds' number
+    # below the hashes, which would compute them once for every position
+    spread = lambda df, own: df.withColumn("seeds", F.concat(*[_seeds(F.col(own), m) for m in masks])).select("*", F.posexplode_outer("seeds").alias("slot", "seed")).drop("seeds")
     # the place of a seed in the concatenation gives back its mask and position
     place = lambda own: _place(F.col("slot"), F.size(own), masks)
-    seeds = coded.select("item_id", "item_hashes", *spread(coded, "item_hashes")).select("item_id", "item_hashes", "seed", place("item_hashes").alias("start"))
+    seeds = spread(coded, "item_hashes").select("item_id", "item_hashes", "seed", place("item_hashes").alias("start"))
     if seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
     texts = docs.select(F.col(doc_id).alias("doc_id"), hashed(tokens_of(F.col("text").cast("string"))).alias("doc_hashes"))
-    hits = texts.select("doc_id", "doc_hashes", *spread(texts, "doc_hashes")).join(seeds, "seed")
-    hits = hits.select("doc_id", "item_id", place("doc_hashes").alias("at"), _window_hits(F.col("doc_hashes"), F.col("item_hashes"), place("doc_hashes"), F.col("start")).alias("best"))
-    sure = hits.where(F.col("best.agree") >= F.ceil(F.lit(SIMILARITY) * F.col("best.wide")))
+    hits = spread(texts, "doc_hashes").join(seeds, "seed")
+    # a generator again, so that the comparison stays out of the join, which would not be compiled with it
+    best = F.array(_window_hits(F.col("doc_hashes"), F.col("item_hashes"), F.col("at"), F.col("start")))
+    hits = hits.withColumn("at", place("doc_hashes")).select("doc_id", "item_id", "at", F.inline_outer(best))
+    sure = hits.where(F.col("agree") >= F.ceil(F.lit(SIMILARITY) * F.col("wide")))
     return sure.groupBy("doc_id", "item_id").agg(
-        F.max("best.agree").cast("long").alias("agree"),
-        F.max("best.wide").cast("long").alias("window"),
+        F.max("agree").cast("long").alias("agree"),
+        F.max("wide").cast("long").alias("window"),
         F.countDistinct("at").alias("n_hits"),
         F.min("at").cast("long").alias("first_token"),
         F.max("at").cast("long").alias("last_token"),
