@@ -3,9 +3,9 @@
 Occurrences (key hash, document, position) are dealt by range over (hash, document) and sorted inside each partition
 by document and position, so a very frequent key is spread over several partitions instead of landing in one.
 Streaming over that order gives, without another exchange, one row for every key and document: its first occurrence
-and the rest. Those rows are counted per key with partial sums; the document that keeps the key is the greatest. What returns to the documents
-is a compressed keep bitmap per document, never text: 64-line words in which a set bit keeps the line; words that
-keep every line are left out.
+and the rest. Those rows are counted per key with partial sums; the document that keeps the key is the greatest.
+What returns to the documents is a compressed keep bitmap per document, never text: 64-line words in which a set bit
+keeps the line; words that keep every line are left out.
 """
 
 from __future__ import annotations
@@ -50,6 +50,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     ranged = _occurrences(docs, min_chars).repartitionByRange(*order).sortWithinPartitions(*order, "rid", "pos")
     per_doc = materialize(ranged.groupBy(*order).agg(F.collect_list(F.struct("rid", "pos")).alias("places")), "lines")
     repeated = per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last_doc")).where(F.col("docs") >= min_docs)
+    # written first, so that both sides of the join come straight from a table and Spark can split a frequent key
+    repeated = materialize(repeated, "lines")
     dropped = per_doc.join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     dropped = dropped.select("doc_id", F.inline("places"))
     words = dropped.groupBy("doc_id", "rid", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("gone"))
