@@ -2,9 +2,10 @@
 
 A spaced seed is a fixed mask over consecutive tokens: 1 looks at a token, 0 ignores it. The hash of the tokens a
 mask looks at is equal for two passages that differ only in ignored places, so a substituted word does not hide the
-hits of every mask. Hashes of the benchmark (small, checked before it is broadcast) are joined with the hashes of all
-document positions; around each hit the two texts are laid side by side and counted token by token, so a hit is
-evidence only if ``WINDOW`` aligned tokens agree to ``SIMILARITY`` or more.
+hits of every mask. Document positions are first held against the benchmark's hashes alone (8 bytes each, counted
+before they are broadcast; beyond ``BROADCAST_ROWS`` the join shuffles); only hits go on, with the few tokens around
+them, to the join that tells the item and place. There the two texts are laid side by side and counted token by token,
+so a hit is evidence only if ``WINDOW`` aligned tokens agree to ``SIMILARITY`` or more.
 """
 
 from __future__ import annotations
@@ -12,14 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratigraph.storage import materialize
+
 #: Fixed masks. Every one looks at six tokens.
 MASKS = ("1110111", "11010010011", "110010101001")
 #: Aligned tokens that are compared around a hit, the share of them that must agree.
 WINDOW, SIMILARITY = 13, 0.8
 #: Benchmark items with fewer tokens are never evidence.
 MIN_TOKENS = 5
-#: Most seed rows (about 60 bytes each) for which the benchmark side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Most different hashes of the benchmark (about 32 bytes each in memory) that are broadcast.
+BROADCAST_ROWS = 4_000_000
 
 
 def tokens_of(text: str | Column) -> Column:
@@ -41,15 +44,21 @@ def _masks_for(items: DataFrame) -> list[str]:
     return [*MASKS, *("1" * n for n in lengths)]
 
 
-def _window_hits(doc: Column, item: Column, at: Column, start: Column) -> Column:
-    """Most agreeing tokens in any window of the alignment that touches the hit; (agreeing, window) as a struct.
+def _around(hashes: Column, at: Column) -> Column:
+    """Tokens that a window may cover which touches the hit at ``at``: up to 12 before it and 24 after."""
+    return F.slice(hashes, F.greatest(at - (WINDOW - 1), F.lit(0)) + 1, F.least(at, F.lit(WINDOW - 1)) + 2 * WINDOW - 1)
+
+
+def _window_hits(doc: Column, at: Column, item: Column, start: Column, item_size: Column) -> Column:
+    """Most agreeing tokens in any window of the alignment that touches the hit; (agree, wide) as a struct.
 
-    ``doc`` and ``item`` are arrays of token hashes, ``at`` and ``start`` the places of the hit in them.
+    ``doc`` and ``item`` are the tokens around the hit, ``at`` and ``start`` its places in the whole texts.
     """
-    low = -F.least(at, start, F.lit(WINDOW - 1))
-    high = F.least(F.size(doc) - at, F.size(item) - start, F.lit(2 * WINDOW - 1))
-    same = F.transform(F.sequence(low, high - 1), lambda k: F.when(F.get(doc, at + k) == F.get(item, start + k), 1).otherwise(0))
-    wide = F.least(F.lit(WINDOW), F.size(item))
+    before, behind = F.least(at, F.lit(WINDOW - 1)), F.least(start, F.lit(WINDOW - 1))
+    low = -F.least(before, behind)
+    high = F.least(F.size(doc) - before, F.size(item) - behind)
+    same = F.transform(F.sequence(low, high - 1), lambda k: F.when(F.get(doc, before + k) == F.get(item, behind + k), 1).otherwise(0))
+    wide = F.least(F.lit(WINDOW), item_size)
     sums = F.when(
         F.size(same) >= wide,
         F.array_max(F.transform(F.sequence(F.lit(0), F.size(same) - wide), lambda s: F.aggregate(F.slice(same, s + 1, wide), F.lit(0), lambda a, x: a + x))),
@@ -76,14 +85,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     spread = lambda df, own: df.withColumn("seeds", F.concat(*[_seeds(F.col(own), m) for m in masks])).select("*", F.posexplode_outer("seeds").alias("slot", "seed")).drop("seeds")
     # the place of a seed in the concatenation gives back its mask and position
     place = lambda own: _place(F.col("slot"), F.size(own), masks)
-    seeds = spread(coded, "item_hashes").select("item_id", "item_hashes", "seed", place("item_hashes").alias("start"))
-    if seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        seeds = F.broadcast(seeds)
+    seeds = spread(coded, "item_hashes").withColumn("start", place("item_hashes")).where("seed IS NOT NULL")
+    seeds = materialize(seeds.select("seed", "item_id", "start", F.size("item_hashes").alias("item_size"), _around(F.col("item_hashes"), F.col("start")).alias("item_near")), "seeds")
+    wanted = materialize(seeds.select("seed").distinct(), "seeds")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col(doc_id).alias("doc_id"), hashed(tokens_of(F.col("text").cast("string"))).alias("doc_hashes"))
-    hits = spread(texts, "doc_hashes").join(seeds, "seed")
+    hits = spread(texts, "doc_hashes").join(wanted, "seed", "left_semi").withColumn("at", place("doc_hashes"))
+    hits = hits.select("doc_id", "seed", "at", _around(F.col("doc_hashes"), F.col("at")).alias("doc_near")).join(seeds, "seed")
     # a generator again, so that the comparison stays out of the join, which would not be compiled with it
-    best = F.array(_window_hits(F.col("doc_hashes"), F.col("item_hashes"), F.col("at"), F.col("start")))
-    hits = hits.withColumn("at", place("doc_hashes")).select("doc_id", "item_id", "at", F.inline_outer(best))
+    best = F.array(_window_hits(F.col("doc_near"), F.col("at"), F.col("item_near"), F.col("start"), F.col("item_size")))
+    hits = hits.select("doc_id", "item_id", "at", F.inline_outer(best))
     sure = hits.where(F.col("agree") >= F.ceil(F.lit(SIMILARITY) * F.col("wide")))
     return sure.groupBy("doc_id", "item_id").agg(
         F.max("agree").cast("long").alias("agree"),
