@@ -2,8 +2,8 @@
 
 Every line is good or bad. Its features are binned counts (letters, capitals, marks, repeats, ...) of the line and of
 its two neighbours; a chain of transition weights links the lines. Labels exist for documents only, so the field is
-fitted twice: first every line has its document's label, then the lines of bad documents that the first field holds
-for good are relabelled. A document's quality is the length-weighted mean of the lines' forward-backward marginals,
+fitted twice: first every line has its document's label, then the lines of bad documents that the first field finds
+less than half as bad as the worst one are relabelled as good. A document's quality is the length-weighted mean of the lines' forward-backward marginals,
 mapped to a probability by a logistic curve fitted on the same rows.
 
 Only a bounded sample of labelled documents is fitted (``PER_CLASS`` of each label); all documents are scored.
@@ -166,7 +166,7 @@ def _chunks(sizes: np.ndarray, cells: int = 40_000) -> Iterator[np.ndarray]:
         yield np.array(now)
 
 
-def _fit_chain(chains: list[np.ndarray], labels: list[np.ndarray], rounds: int, pull: float = 1e-3, rate: float = 0.15) -> LineField:
+def _fit_chain(chains: list[np.ndarray], labels: list[np.ndarray], rounds: int, pull: float = 1e-4, rate: float = 0.15) -> LineField:
     """Gradient ascent (Adam) on the mean log-likelihood of the labelled lines."""
     out, sizes = LineField(), np.array([len(c) for c in chains])
     total = sizes.sum()
@@ -204,7 +204,7 @@ def _fit_chain(chains: list[np.ndarray], labels: list[np.ndarray], rounds: int,
     return out
 
 
-def fit(chains: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, shares: np.ndarray, rounds: int = 40) -> LineField:
+def fit(chains: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, shares: np.ndarray, rounds: int = 60) -> LineField:
     """The field for documents given by the bins and lengths of their lines and a 0/1 label each.
 
     ``shares`` weighs a document in the final curve, so that classes count as they do among all labelled rows. With
@@ -212,13 +212,11 @@ def fit(chains: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, s
     """
     if len(set(labels.tolist())) < 2:
         return LineField(prior=float(labels[0]) if len(labels) else 0.5)
-    # documents of the same bins count once in time, as often as they come in weight, is not needed at this size
     target = [np.full(len(c), y) for c, y in zip(chains, labels, strict=True)]
     first = _fit_chain(chains, target, rounds)
     for d in np.flatnonzero(labels == 0):
-        bad = first.marginals(chains[d]) < 0.5
-        if bad.any():
-            target[d] = np.where(bad, 0, 1)
+        bad = 1 - first.marginals(chains[d])
+        target[d] = np.where(bad >= 0.5 * bad.max(), 0, 1)  # the worst line is bad for certain
     out = _fit_chain(chains, target, rounds)
     means = np.array([(out.marginals(c) * s).sum() / s.sum() for c, s in zip(chains, sizes, strict=True)])
     out.curve = _logistic(means, labels, shares)
