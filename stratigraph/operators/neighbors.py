@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratigraph.session import ship
+
 #: Bytes of vectors up to which the searched side is broadcast; beyond it blocks meet blocks.
 BROADCAST_BYTES = 64 << 20
 #: Rows of a block where blocks meet.
@@ -50,6 +52,7 @@ def top_neighbors(df: DataFrame, k: int, id_col: str = "id", col: str = "x", bro
     packed into blocks, each two blocks meet in a task of their own and the best of each meeting are merged, which
     keeps a task at two blocks whatever the table's size.
     """
+    ship(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(col).alias("x"))
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
     spark = df.sparkSession

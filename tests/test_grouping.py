@@ -209,9 +209,9 @@ def test_cascade_of_no_and_one_level(spark):
 
 
 def test_planted_clusters_are_found(spark):
-    rows = planted()
+    rows = planted((20,) * 6)
     df = spark.createDataFrame(rows, "id long, x array<double>, true long, species long")
-    config = multiscale.Config(consensus_runs=2, resolutions=(0.02, 0.05, 0.2), graph_type="union", k_coeff=1.5, scale=False)
+    config = multiscale.Config(consensus_runs=2, resolutions=(0.02, 0.05, 0.2), graph_type="mutual", k_coeff=0.9, scale=False)
     done = multiscale.run(df, config, df.select("id", "true", "species"))
     assert done.metrics.first().f1 > 0.9
     assert done.stages.columns[0] == "stage"
