@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratigraph.session import ship
+
 #: Columns of the hashed n-grams, longest n-gram.
 BUCKETS, LONGEST = 1 << 15, 3
 #: Expected documents of each language that the model is fitted on.
@@ -156,6 +158,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     set by its language's count, so about ``per_language`` rows of each language, whatever the corpus' size. The
     driver gets column numbers and counts of the sampled rows (at most BUCKETS of each a row), no text.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratigraph.session import ship
+
 #: Least probability of a family, least share of a template's word pairs.
 LEAST_PROBABILITY, LEAST_SHARE = 0.5, 0.6
 #: Variants of each template, documents whose lines are examples of other text (at most, by least hash of doc_id).
@@ -181,6 +183,7 @@ def scan(docs: DataFrame) -> DataFrame:
     each, a null doc_id stays null, an empty table gives an empty result; other columns are not looked at. The
     classifier sees at most ``PLAIN_DOCS`` documents as other text; all documents are scanned.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = F.broadcast(rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(PLAIN_DOCS).distinct().withColumnsRenamed({"doc_id": "plain_id"}))
     got = rows.join(chosen, F.col("doc_id") == F.col("plain_id")).select("text").mapInPandas(_plain, "at binary, x binary").distinct().toPandas().sort_values(["at", "x"])

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratigraph.session import ship
+
 #: Window lengths, shortest first.
 TIERS = (512, 1024, 2048)
 #: Id that ends every document.
@@ -193,5 +195,6 @@ def pack(docs: DataFrame, folder: str | None = None, tiers: tuple[int, ...] = TI
     result; other columns are not looked at. sequence_tokens is a power of two, so no sequence needs padding; the
     few short ones end the stream of each task. Sequence ids hold the task's partition number above 40 bits.
     """
+    ship(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInPandas(lambda batches: _pieces(batches, folder, tiers, block), SCHEMA)

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratigraph.session import ship
+
 #: Most labelled documents of each label that the field is fitted on.
 PER_CLASS = 2000
 #: Documents with a score from here on are good.
@@ -251,6 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Lin
     The sample takes the least hashes of doc_id of each label. Rows without a doc_id or with a label other than 0
     and 1 are left out; of repeated label rows the least label counts. The driver gets 20 bytes a line, no text.
     """
+    ship(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~F.coalesce(is_held_out(), F.lit(True)))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     counts = dict(known.groupBy("quality").count().collect())

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratigraph.operators.components import connected_components
+from stratigraph.session import ship
 from stratigraph.storage import materialize
 
 #: Words in a shingle, seed of its hash, most differing bits of a link.
@@ -145,6 +146,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and are linked. Repeated rows are returned as often as they come. A null doc_id sorts below all others: a class
     that holds one has component_id null. An empty table gives an empty result; other columns are not looked at.
     """
+    ship(docs.sparkSession)
     signed = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col).cast("string")).alias("print")), "simhash")
     lowest = F.lit(-(2**63)).cast("long")
     prints = materialize(signed.groupBy("print").agg(F.min(F.coalesce("doc_id", lowest)).alias("rep")), "simhash")
