@@ -1,4 +1,4 @@
-"""Exact top-k neighbours by inner product."""
+"""Top-k neighbours by inner product: exact, or approximate over cells."""
 
 from __future__ import annotations
 
@@ -79,6 +79,64 @@ def top_neighbors(df: DataFrame, k: int, id_col: str = "id", col: str = "x", bro
             return _top(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros((0, 1)), k)
         return _top(left["id"].to_numpy(), _matrix(left["x"]), right["j"].to_numpy(), _matrix(right["y"]), k)
 
-    parts = asked.groupBy("a", "b").cogroup(sought.groupBy("c", "d")).applyInPandas(meet, NEIGHBOURS)
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "j"))), 1, k)
+    return _best(asked.groupBy("a", "b").cogroup(sought.groupBy("c", "d")).applyInPandas(meet, NEIGHBOURS), k)
+
+
+def _best(parts: DataFrame, k: int) -> DataFrame:
+    """The k best of several lists of each row; a neighbour that several lists have counts once."""
+    best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("s"), "j"))), 1, k)
     return parts.groupBy("i").agg(best.alias("best")).select("i", F.posexplode("best").alias("rank", "b")).select("i", (F.col("rank") + 1).cast("int").alias("rank"), "b.j", (-F.col("b.s")).alias("score"))
+
+
+def _centres(rows: DataFrame, cells: int, sample: int, rounds: int = 12) -> np.ndarray:
+    """Centres of ``cells`` cells by k-means on at most ``sample`` rows, those of least hashed id."""
+    got = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    x = _matrix(got["x"])
+    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)].copy()
+    for _ in range(rounds):
+        own = np.concatenate([(part @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1) for part in np.array_split(x, max(1, len(x) // 4096))])
+        for c in np.unique(own):
+            centres[c] = x[own == c].mean(0)
+    return centres
+
+
+def cell_neighbors(df: DataFrame, k: int, id_col: str = "id", col: str = "x", cells: int | None = None, probes: int = 8, sample: int = 50_000, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Approximate (i, rank, j, score): each row searches the ``probes`` nearest of ``cells`` cells.
+
+    Every row is indexed in its nearest cell. Centres come from a bounded sample and are what is broadcast: 4 sqrt(N)
+    of them if not given, as many as fit ``BROADCAST_BYTES`` at most. A cell of more than ``block_rows`` rows, searched
+    or asking, is dealt into blocks, so no task holds more than two blocks. Work grows as N sqrt(N) instead of N^2.
+    """
+    ship(df.sparkSession)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(col).alias("x"))
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    if not n:
+        return rows.sparkSession.createDataFrame([], NEIGHBOURS)
+    cells = max(1, min(cells or int(4 * np.sqrt(n)), n, sample, BROADCAST_BYTES // (8 * width)))
+    shared = df.sparkSession.sparkContext.broadcast(_centres(rows, cells, sample))
+
+    def placed(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+        centres = shared.value
+        take = min(most, len(centres))
+        for batch in batches:
+            x = _matrix(batch["x"])
+            near = np.argpartition(-(x @ centres.T - 0.5 * (centres**2).sum(1)), take - 1, 1)[:, :take] if len(x) else np.zeros((0, take), int)
+            at = np.repeat(np.arange(len(x)), take)
+            yield pd.DataFrame({"cell": near.ravel().astype(np.int32), "id": batch["id"].to_numpy()[at], "x": batch["x"].to_numpy()[at]})
+
+    schema = "cell int, id long, x array<double>"
+    base = rows.mapInPandas(lambda b: placed(b, 1), schema)
+    asking = rows.mapInPandas(lambda b: placed(b, probes), schema)
+    blocks = lambda table, name: table.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+    sizes = blocks(base, "nb").join(blocks(asking, "na"), "cell")
+    numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    asked = asking.join(sizes, "cell").select("id", "x", F.col("cell").alias("ca"), own("na").alias("a"), numbers("nb").alias("b"))
+    sought = base.join(sizes, "cell").select(F.col("id").alias("j"), F.col("x").alias("y"), F.col("cell").alias("cb"), numbers("na").alias("c"), own("nb").alias("d"))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return _top(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros((0, 1)), k)
+        return _top(left["id"].to_numpy(), _matrix(left["x"]), right["j"].to_numpy(), _matrix(right["y"]), k)
+
+    return _best(asked.groupBy("ca", "a", "b").cogroup(sought.groupBy("cb", "c", "d")).applyInPandas(meet, NEIGHBOURS), k)

@@ -92,6 +92,16 @@ def test_neighbours_in_blocks_equal_broadcast_and_ties_go_to_the_least_id(spark)
         assert [j for a, _, j in whole if a == i] == want
 
 
+def test_neighbours_over_cells_find_nine_of_ten(spark):
+    rows = [(r[0], r[1]) for r in planted((25,) * 12, width=12, noise=0.15)]
+    df = vectors.l2_normalize(spark.createDataFrame(rows, "id long, x array<double>"))
+    exact = {(r.i, r.j) for r in neighbors.top_neighbors(df, 8).collect()}
+    for block in (8192, 20):
+        found = neighbors.cell_neighbors(df, 8, cells=20, probes=5, block_rows=block).collect()
+        assert len({(r.i, r.j) for r in found} & exact) >= 0.9 * len(exact)
+        assert all(r.i != r.j for r in found) and len({(r.i, r["rank"]) for r in found}) == len(found)
+
+
 def test_directions_of_graphs(spark):
     nbr = spark.createDataFrame([(5, 1, 1, 0.9), (1, 1, 2, 0.8), (2, 1, 1, 0.8)], "i long, rank int, j long, score double")
     pairs = lambda d: {(r.u, r.v) for r in d.collect()}
@@ -214,7 +224,12 @@ def test_planted_clusters_are_found(spark):
     config = multiscale.Config(consensus_runs=2, resolutions=(0.02, 0.05, 0.2), graph_type="mutual", k_coeff=0.9, scale=False)
     done = multiscale.run(df, config, df.select("id", "true", "species"))
     assert done.metrics.first().f1 > 0.9
-    assert done.stages.columns[0] == "stage"
+    stage = done.stages.orderBy("stage").collect()
+    assert [r.fine_k_after for r in stage] == [r.fine_k_before - r.n_merges for r in stage]
+    from stratigraph.sources.results import SUMMARY, summary_row
+
+    row = summary_row("fine", done.metrics)
+    assert row.columns == list(SUMMARY.values()) and row.first().pairwise_F1 > 0.9
 
 
 def test_vectors_of_constant_columns_and_zero(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from stratigraph.functions.providers import embed, pooled
 from stratigraph.operators import distances, sequences, trees
 from stratigraph.plans import experiments
-from stratigraph.sources import fasta
+from stratigraph.sources import fasta, results
 
 
 def test_fasta_with_dirt(spark, tmp_path):
@@ -24,7 +24,7 @@ def test_index_and_lists(spark, tmp_path):
 
 def test_results_are_written(spark, tmp_path):
     df = spark.createDataFrame([(0, 0.123456, None)], "level int, f1 double, x double")
-    fasta.save_results(df, str(tmp_path / "r"))
+    results.save_results(df, str(tmp_path / "r"))
     text = spark.read.csv(str(tmp_path / "r/levels.tsv"), sep="\t", header=True).first()
     assert (text.f1, text.x) == ("0.1235", "0.0000")
 
@@ -92,3 +92,18 @@ def test_provider_errors_become_rows(spark):
     assert got[0] == ([1.5], None) and got[1] == (None, "bad residue")
     with pytest.raises(ValueError, match="no embedding provider"):
         embed(rows, "nothing")
+
+
+def test_first_records_of_an_alignment(spark, tmp_path):
+    (tmp_path / "m.a3m").write_text(">q\nAC-d\n>r\nAcDE\n>s\nTTTT\n")
+    assert [tuple(r) for r in fasta.read_msa(spark, str(tmp_path / "m.a3m"), 2).select("header", "sequence").collect()] == [("q", "AC-"), ("r", "ADE")]
+
+
+def test_pairs_of_families_correlate(spark):
+    vec = spark.createDataFrame([("m", f, 0, k, [float(k + o), 0.0]) for f, o in (("p", 0), ("q", 10)) for k in range(3)], "model string, family string, layer int, idx long, x array<double>")
+    place = [0, 1, 2, 10, 11, 12]
+    trees_of = spark.createDataFrame([("p", "q", i, j, float(place[j] - place[i])) for i in range(6) for j in range(i + 1, 6)], "a string, b string, i long, j long, d double")
+    row = experiments.interfamily_correlations(vec, spark.createDataFrame([("p", "q")], "a string, b string"), trees_of).first()
+    assert (row.a, row.b, row.spearman, row.pearson) == ("p", "q", 1.0, 1.0)
+    own = spark.createDataFrame([("p", i, j, float(j - i)) for i in range(3) for j in range(i + 1, 3)], "family string, i long, j long, d double")
+    assert experiments.family_correlations(vec, own).first().pearson == 1.0
