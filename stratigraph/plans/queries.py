@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stratigraph.functions.providers import embed
 from stratigraph.functions.vector import norm
 from stratigraph.operators import distances, evaluation, graph, leiden, levels, merge, sequences, trees, vectors
-from stratigraph.operators.neighbors import adaptive_k, top_neighbors
+from stratigraph.operators.neighbors import adaptive_k, cell_neighbors, top_neighbors
 from stratigraph.plans import experiments, multiscale
 from stratigraph.sources import fasta
 from stratigraph.storage import materialize
@@ -615,6 +615,60 @@ def merge_seq_index(spark: SparkSession, d: str) -> DataFrame:
     return distances.merge_indexes(one("customer", "c_nationkey"), one("supplier", "s_nationkey")).select("name", F.col("idx").cast("long").alias("idx"))
 
 
+@query(
+    "merge_stage_thresholds",
+    "WITH s AS (SELECT unnest(range(0, 5)) AS s), t AS (SELECT s + 1 AS stage, (s / 4.0) ** 2 AS t FROM s) "
+    "SELECT CAST(stage AS BIGINT) AS stage, round(least(0.85 + 0.10 * t, 0.98), 6)::DOUBLE AS cos, round(least(0.05 + 0.05 * t, 0.5), 6)::DOUBLE AS edge, round(least(0.10 + 0.05 * t, 0.5), 6)::DOUBLE AS strong, stage = 5 AS final FROM t",
+)
+def merge_stage_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(k + 1, r.cos, r.edge, r.strong, r.final) for k, r in enumerate(merge.stage_rules(5))]
+    return spark.createDataFrame(rows, "stage long, cos double, edge double, strong double, final boolean").select("stage", *[r6(c).alias(c) for c in ("cos", "edge", "strong")], "final")
+
+
+@query(
+    "tree_graft",
+    "SELECT 'c:0' AS node, NULL AS parent, 0.0::DOUBLE AS branch_len UNION ALL SELECT 'c:' || (r_regionkey + 1), 'c:0', 1.0 FROM region WHERE r_regionkey > 0 "
+    "UNION ALL SELECT r_name || ':0', CASE WHEN r_regionkey > 0 THEN 'c:' || (r_regionkey + 1) ELSE 'c:0' END, 0.0 FROM region "
+    "UNION ALL SELECT r_name || ':' || (n_nationkey + 1), r_name || ':0', 0.5 FROM nation JOIN region ON n_regionkey = r_regionkey",
+)
+def tree_graft(spark: SparkSession, d: str) -> DataFrame:
+    """Regions hang on a consensus tree that lacks the first of them; nations are the leaves of their trees."""
+    region, nation = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("region", "nation"))
+    tree = lambda df, *c: df.select(*c)
+    root = spark.createDataFrame([(0, None, 0.0, "root")], trees.TREE)
+    key = F.col("r_regionkey").cast("int")
+    inner = tree(region.where(key > 0), (key + 1).alias("node"), F.lit(0).alias("parent"), F.lit(1.0).alias("branch_len"), F.col("r_name").alias("name"))
+    tops = tree(region, F.col("r_name").alias("family"), F.lit(0).alias("node"), F.lit(None).cast("int").alias("parent"), F.lit(0.0).alias("branch_len"), F.lit(None).cast("string").alias("name"))
+    leaves = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    leaves = tree(leaves, F.col("r_name").alias("family"), (F.col("n_nationkey").cast("int") + 1).alias("node"), F.lit(0).alias("parent"), F.lit(0.5).alias("branch_len"), F.col("n_name").alias("name"))
+    return trees.graft(root.union(inner), tops.union(leaves)).select("node", "parent", "branch_len")
+
+
+@query(
+    "size_drift",
+    f"WITH {E}, {SHAPES}, d AS (SELECT level, n_clusters / lag(n_clusters) OVER (ORDER BY level) AS ratio FROM shapes) SELECT CAST(level AS BIGINT) AS level, round(CASE WHEN ratio > 1 THEN least(ratio / 3, 1.0) ELSE 0 END, 6)::DOUBLE AS size_drift FROM d",
+)
+def size_drift(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d).select(F.col("level").cast("long").alias("level"), r6("size_drift").alias("size_drift"))
+
+
+@query("knn_cells")
+def knn_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the exact neighbours that the search over cells finds."""
+    rows = units(spark, d)
+    exact, k = near(spark, d)
+    found = cell_neighbors(rows, k, probes=44)
+    return exact.join(found, ["i", "j"], "left_semi").agg(F.count(F.lit(1)).alias("hit")).crossJoin(exact.agg(F.count(F.lit(1)).alias("n"))).select((F.col("hit") / F.col("n")).alias("recall"))  # one row each
+
+
+@query("merge_stages")
+def merge_stages(spark: SparkSession, d: str) -> DataFrame:
+    nbr, k = near(spark, d)
+    part = materialize(parted(spark, d), "part")
+    _, log = merge.refine_and_flatten(part, [0, 1, 2, 3], materialize(graph.forward_graph(nbr), "edges"), emb(spark, d).select("id", "x"), k, 0.3, 0.02, None, True, 0.35)
+    return merge.stage_table(part, [0, 1, 2, 3], log, 0.3, 0.02)
+
+
 @query("leiden_grid")
 def leiden_grid(spark: SparkSession, d: str) -> DataFrame:
     edges = graph.forward_graph(near(spark, d)[0])

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: set[str] = set()
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local master may run without that setting; it then uses /tmp/checkpoints,
-    as driver and executors are one process there.
+    Only a local master may run without that setting; it then uses a folder below /tmp/checkpoints that goes when the
+    process ends, as driver and executors are one process there.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     named = named or spark.sparkContext.getCheckpointDir()
@@ -19,7 +23,11 @@ def scratch_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return "file:///tmp/checkpoints"
+    own = f"/tmp/checkpoints/stratigraph-{spark.sparkContext.applicationId}"
+    if own not in _local:
+        _local.add(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
