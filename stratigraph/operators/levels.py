@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratigraph.operators.evaluation import nmi
+from stratigraph.operators.ranking import positions
 
 #: Weights of the composite score and steepness of its parts. Fixed values.
 WEIGHTS = {"nmi": 0.18, "cohesion": 0.18, "separation": 0.18, "size_reg": 0.12, "consensus": 0.10, "target_prior": 0.10}
@@ -23,10 +24,9 @@ BANDS = (1 / 20, 1 / 10, 1 / 6, 1 / 4, 1 / 2, 0.7)
 
 
 def relabel_contiguous(part: DataFrame, by: list[str] | None = None, cluster: str = "cluster") -> DataFrame:
-    """Clusters from 0 on, in order of their old numbers; below 0 stays. Only the different numbers are ranked."""
+    """Clusters from 0 on, in order of their old numbers; below 0 stays. Only the different numbers are placed."""
     by = by or []
-    known = part.where(F.col(cluster) >= 0).select(*by, cluster).distinct()
-    ranks = known.withColumn("__new", F.dense_rank().over(Window.partitionBy(*by, F.lit(0)).orderBy(cluster)) - 1)
+    ranks = positions(part.where(F.col(cluster) >= 0).select(*by, cluster).distinct(), cluster, by, "__new")
     return part.join(ranks, [*by, cluster], "left").withColumn(cluster, F.coalesce("__new", cluster)).drop("__new")
 
 

@@ -127,6 +127,18 @@ def test_selection_may_exceed_the_cap_by_one():
     assert levels.select_levels([levels.Level(0, 1, n, -1, False)], 6) == [0]
 
 
+def test_positions_over_many_partitions(spark):
+    from stratigraph.operators.ranking import positions
+
+    values = random.Random(6).sample(range(10_000), 500)
+    df = spark.createDataFrame([(k % 3, v) for k, v in enumerate(values)], "g int, v long").repartition(7)
+    assert [r.pos for r in positions(df, "v").orderBy("v").collect()] == list(range(500))
+    for g in range(3):
+        own = sorted(v for k, v in enumerate(values) if k % 3 == g)
+        assert [(r.v, r.pos) for r in positions(df, "v", ["g"]).where(f"g = {g}").orderBy("v").collect()] == list(zip(own, range(len(own))))
+    assert positions(df.limit(0), "v").count() == 0
+
+
 def test_ladder_thinning():
     assert levels.thin_ladder([(0.1, 10), (0.2, 11), (0.3, 12), (0.4, 40), (0.5, 41)]) == [(0.1, 10), (0.3, 12), (0.4, 40), (0.5, 41)]
     assert levels.thin_ladder([]) == []
