@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from stratigraph.operators.components import connected_components
 
+#: Edges up to which components are found in one task; beyond it in rounds over the cluster.
+SMALL = 200_000
+
 
 def forward_graph(nbr: DataFrame) -> DataFrame:
     """Edge (i, j) if i < j and j is a neighbour of i with positive score; the other direction alone gives none."""
@@ -93,7 +96,7 @@ def build_snn_graph(nbr: DataFrame, k: int, snn_k: int | None = None, prune_meth
 
 def node_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) of every node, nodes without edges included."""
-    parts = connected_components(edges.select(F.col("u").cast("long"), F.col("v").cast("long")))
+    parts = connected_components(edges.select(F.col("u").cast("long"), F.col("v").cast("long")), small=SMALL)
     return nodes.select("id").join(parts, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

@@ -76,6 +76,7 @@ def test_components_equal_union_find(spark):
         up[rb] = ra
     got = dict(connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {x: top(x) for e in edges for x in e}
+    assert got == dict(connected_components(spark.createDataFrame(edges, "u long, v long"), small=1000).collect())
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
