@@ -162,10 +162,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the document with the least doc_id, once.
+    """The rows of ``docs`` that stay: of each class of linked fingerprints the least in (doc_id, print), once.
 
-    All columns are kept as they are. Repeated rows of the document that stays leave one row.
+    All columns are kept as they are. Fingerprints are linked, not ids: rows of equal or null doc_id belong together
+    only if their texts are near. A null doc_id sorts below all others. Rows equal to the one that stays in doc_id and
+    print leave one row.
     """
-    least = simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(least, docs["doc_id"].eqNullSafe(least["kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    ship(docs.sparkSession)
+    ids, text = F.col("doc_id"), F.col("text").cast("string")
+    signed = materialize(docs.select(ids.alias("kept_id"), fingerprint_column(text).alias("print")).distinct(), "simhash")
+    own = signed.groupBy("print").agg(F.min(F.struct("kept_id", "print")).alias("least")).withColumn("rep", F.col("print"))
+    prints = materialize(own, "simhash")
+    parts = connected_components(_postings(prints).mapInPandas(_forest, "u long, v long"))
+    classes = prints.join(parts, prints["rep"] == parts["node"], "left").groupBy(F.coalesce("component", "rep").alias("class")).agg(F.min("least").alias("least"))
+    least = materialize(classes.select("least.kept_id", F.col("least.print").alias("kept_print")), "simhash")
+    marked = docs.withColumn("__print", fingerprint_column(text))
+    kept = marked.join(least, marked["doc_id"].eqNullSafe(least["kept_id"]) & (marked["__print"] == least["kept_print"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__print"]).drop("__print")

@@ -141,6 +141,14 @@ def test_near_dedup_keeps_one_of_each_class(spark):
     assert sorted(r.doc_id for r in simhash.near_dedup(df.where("doc_id <> 8")).collect()) == [3, 9]
 
 
+def test_near_dedup_keeps_different_texts_of_null_and_equal_ids(spark):
+    rng = random.Random(11)
+    a, b, c, d, e = (prose(rng, 200) for _ in range(5))
+    rows = [(None, a), (None, b), (None, a), (None, c), (1, b), (2, d), (2, e), (2, e), (3, e), (4, "alone")]
+    got = sorted(((r.doc_id or 0, r.text) for r in simhash.near_dedup(spark.createDataFrame(rows, DOCS)).collect()))
+    assert got == sorted([(0, a), (0, b), (0, c), (2, d), (2, e), (4, "alone")])
+
+
 # lines
 
 
