@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratigraph.llm.shingles import near_classes, node_column
 from stratigraph.operators.components import connected_components
 from stratigraph.session import ship
 from stratigraph.storage import materialize
@@ -162,20 +163,21 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class of linked fingerprints the least in (doc_id, print), once.
+    """The rows of ``docs`` that stay: of each class of near texts (see ``shingles``) the least in (doc_id, node), once.
 
-    All columns are kept as they are. Fingerprints are linked, not ids: rows of equal or null doc_id belong together
-    only if their texts are near. A null doc_id sorts below all others. Rows equal to the one that stays in doc_id and
-    print leave one row.
+    This is not op3's contract of three-word shingles and three bits: texts are near at 0.8 of their five-word shingles.
+    All columns are kept as they are. Texts are linked, not ids: rows of equal or null doc_id belong together only if
+    their texts are near. A null doc_id sorts below all others. Texts without words are equal. Rows that equal the one
+    that stays in doc_id and words leave one row.
     """
     ship(docs.sparkSession)
-    ids, text = F.col("doc_id"), F.col("text").cast("string")
-    signed = materialize(docs.select(ids.alias("kept_id"), fingerprint_column(text).alias("print")).distinct(), "simhash")
-    own = signed.groupBy("print").agg(F.min(F.struct("kept_id", "print")).alias("least")).withColumn("rep", F.col("print"))
-    prints = materialize(own, "simhash")
-    parts = connected_components(_postings(prints).mapInPandas(_forest, "u long, v long"))
-    classes = prints.join(parts, prints["rep"] == parts["node"], "left").groupBy(F.coalesce("component", "rep").alias("class")).agg(F.min("least").alias("least"))
-    least = materialize(classes.select("least.kept_id", F.col("least.print").alias("kept_print")), "simhash")
-    marked = docs.withColumn("__print", fingerprint_column(text))
-    kept = marked.join(least, marked["doc_id"].eqNullSafe(least["kept_id"]) & (marked["__print"] == least["kept_print"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__print"]).drop("__print")
+    text = F.col("text").cast("string")
+    texts = docs.select(node_column(text).alias("node"), text.alias("text"))
+    parts = near_classes(texts)
+    own = materialize(docs.select(F.col("doc_id").alias("kept_id"), node_column(text).alias("own")).groupBy("own").agg(F.min("kept_id").alias("some"), F.max(F.col("kept_id").isNull()).alias("empty")), "simhash")
+    first = own.select("own", F.struct(F.when(~F.col("empty"), F.col("some")).alias("kept_id"), F.col("own").alias("kept_node")).alias("least"))
+    classes = first.join(parts, first["own"] == parts["node"], "left").groupBy(F.coalesce("component", "own").alias("class")).agg(F.min("least").alias("least"))
+    least = materialize(classes.select("least.*"), "simhash")
+    marked = docs.withColumn("__node", node_column(text))
+    kept = marked.join(least, marked["doc_id"].eqNullSafe(least["kept_id"]) & (marked["__node"] == least["kept_node"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__node"]).drop("__node")

@@ -149,6 +149,21 @@ def test_near_dedup_keeps_different_texts_of_null_and_equal_ids(spark):
     assert got == sorted([(0, a), (0, b), (0, c), (2, d), (2, e), (4, "alone")])
 
 
+def test_near_dedup_finds_pairs_at_four_fifths_of_their_shingles(spark):
+    rng = random.Random(12)
+    rows, want = [], set()
+    for k in range(30):
+        words = [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(300)]
+        far = list(words)
+        for at in range(20, 300, 280 // (4 if k % 2 else 12)):  # about 20 or 60 of 296 shingles change
+            far[at] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(far))]
+        sets = [{tuple(w[i : i + 5]) for i in range(296)} for w in (words, far)]
+        want |= {2 * k} if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]) else {2 * k, 2 * k + 1}
+    assert len(want) == 45
+    assert {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, DOCS)).collect()} == want
+
+
 # lines
 
 
