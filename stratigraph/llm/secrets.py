@@ -1,6 +1,6 @@
 """Secret scan with a random forest that removes false positives, in DataFrame and JVM operations only.
 
-Candidates are tokens with a run of 16 or more key characters, a digit among them. Their length, character
+Candidates are all runs of 16 or more key characters, a digit among them, of all tokens. Their length, character
 transitions, dictionary coverage, path marks and neighbouring words are numbers computed by SQL functions; a random
 forest trained on labelled findings tells secrets from card numbers, digests, paths, identifiers and placeholders.
 Labelled findings are a table ``(before, token, after, secret)``; where none is given, ``rule_findings`` makes one
@@ -31,14 +31,25 @@ FEATURES = ["length", "upper", "lower", "digit", "mark", "switches", "case_switc
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, position, before, token, after) of each candidate; position counts white-space tokens from 0."""
+    """(doc_id, position, run_number, before, token, after) of each candidate.
+
+    position counts white-space tokens from 0, run_number the runs of a token from 0. A token of several runs is cut:
+    each run keeps the marks that quote it, and what lies between it and its neighbours, these included, stands in
+    before and after. The first run keeps all that precedes it in the token, the last all that follows.
+    """
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\s+", -1).alias("words"))
-    marked = F.filter(F.transform("words", lambda w, at: F.struct(at.cast("long").alias("position"), w.alias("token"))), lambda x: (F.char_length(x["token"]) >= 16) & x["token"].rlike(RUN) & F.regexp_extract(x["token"], RUN, 0).rlike("[0-9]"))
-    rows = words.select("doc_id", "words", F.inline(marked))
+    marked = F.filter(F.transform("words", lambda w, at: F.struct(at.cast("long").alias("position"), w.alias("whole"))), lambda x: (F.char_length(x["whole"]) >= 16) & x["whole"].rlike(RUN))
+    runs = words.select("doc_id", "words", F.inline(marked)).withColumns({"runs": F.regexp_extract_all("whole", F.lit(RUN), F.lit(0)), "gaps": F.split("whole", RUN, -1)})
+    rows = runs.select("doc_id", "words", "position", "runs", "gaps", F.posexplode("runs").alias("run_number", "value")).where(F.col("value").rlike("[0-9]"))
+    at, k = F.col("position").cast("int"), F.col("run_number")
+    first, last = k == 0, k == F.size("runs") - 1
+    left, right = F.get("gaps", k), F.get("gaps", k + 1)
+    opening, closing = F.regexp_extract(left, r"[\"'(]*$", 0), F.regexp_extract(right, r"^[\"')]*", 0)
     around = lambda start, n: F.array_join(F.slice("words", start, n), " ")
-    at = F.col("position").cast("int")
-    before = F.when(at > 0, around(F.greatest(at - NEAR, F.lit(0)) + 1, F.least(at, F.lit(NEAR)))).otherwise("")
-    return rows.select("doc_id", "position", before.alias("before"), "token", around(at + 2, F.lit(NEAR)).alias("after"))
+    before = F.when(~first, F.concat(F.get("runs", k - 1), F.substr(left, F.lit(1), F.char_length(left) - F.char_length(opening)))).when(at > 0, around(F.greatest(at - NEAR, F.lit(0)) + 1, F.least(at, F.lit(NEAR)))).otherwise("")
+    after = F.when(~last, F.concat(F.substr(right, F.char_length(closing) + 1), F.get("runs", k + 1))).otherwise(around(at + 2, F.lit(NEAR)))
+    token = F.concat(F.when(first, left).otherwise(opening), "value", F.when(last, right).otherwise(closing))
+    return rows.select("doc_id", "position", F.col("run_number").cast("long").alias("run_number"), before.alias("before"), token.alias("token"), after.alias("after"))
 
 
 def _share(run: Column, pattern: str) -> Column:
@@ -49,7 +60,7 @@ def featured(rows: DataFrame) -> DataFrame:
     """``rows`` with the candidate's value as ``run`` and one column per feature."""
     parts = F.regexp_extract("token", RUN, 0)
     assigned = F.regexp_extract("token", r"^[\"'(]*[A-Za-z_.\-]{2,24}[=:]+[\"']?([A-Za-z0-9_+/=\-]{12,})", 1)
-    rows = rows.withColumn("run", F.when(assigned != "", assigned).otherwise(parts))
+    rows = rows.withColumn("run", F.when((assigned != "") & F.endswith(parts, assigned), assigned).otherwise(parts))
     run, low = F.col("run"), F.lower("run")
     left = F.regexp_replace(low, "(" + "|".join(DICTIONARY.split()) + ")", "")
     size = F.greatest(F.char_length(run), F.lit(1))
@@ -129,7 +140,7 @@ def train(findings: DataFrame) -> PipelineModel:
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """Candidates with their verdict: (doc_id, position, kind, shown, value_sha256, length, score, is_secret).
+    """Candidates with their verdict: (doc_id, position, run_number, kind, shown, value_sha256, length, score, is_secret).
 
     One row per candidate. ``shown`` is its first four characters, value_sha256 the digest of the whole value, kind
     a name by form. Null and empty texts have no candidate, repeated rows give their findings each, a null doc_id
@@ -142,6 +153,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     return scored.select(
         "doc_id",
         "position",
+        "run_number",
         kind.alias("kind"),
         F.substr("run", F.lit(1), F.lit(4)).alias("shown"),
         F.sha2("run", 256).alias("value_sha256"),
