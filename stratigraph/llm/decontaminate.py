@@ -10,12 +10,15 @@ so a hit is evidence only if ``WINDOW`` aligned tokens agree to ``SIMILARITY`` o
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratigraph.storage import materialize
 
-#: Fixed masks. Every one looks at six tokens.
+#: Fixed masks. Every one looks at six tokens. Items shorter than a window have masks of their own besides.
 MASKS = ("1110111", "11010010011", "110010101001")
 #: Aligned tokens that are compared around a hit, the share of them that must agree.
 WINDOW, SIMILARITY = 13, 0.8
@@ -37,11 +40,22 @@ def _seeds(hashes: Column, mask: str) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.lit(mask), *[F.get(hashes, i + k) for k in looks]))
 
 
+def _short_masks(n: int) -> list[str]:
+    """Masks over a whole item of ``n`` tokens, one of which ignores whatever tokens ``SIMILARITY`` lets differ.
+
+    The item is cut into blocks, and each mask ignores as many of them as tokens may differ: single tokens up to six,
+    else two blocks more than that.
+    """
+    lost = n - ceil(SIMILARITY * n)
+    blocks = n if n <= 6 else lost + 2
+    block = [k * blocks // n for k in range(n)]
+    return ["".join("0" if b in gone else "1" for b in block) for gone in combinations(range(blocks), lost)]
+
+
 def _masks_for(items: DataFrame) -> list[str]:
-    """The fixed masks, and a mask without gaps for each length of items that are too short for all of them."""
-    shortest = min(map(len, MASKS))
-    lengths = items.where((F.size("tokens") >= MIN_TOKENS) & (F.size("tokens") < shortest)).agg(F.sort_array(F.collect_set(F.size("tokens")))).first()[0]
-    return [*MASKS, *("1" * n for n in lengths)]
+    """The fixed masks, and those of each length of items that are shorter than a window."""
+    lengths = items.where((F.size("tokens") >= MIN_TOKENS) & (F.size("tokens") < WINDOW)).agg(F.sort_array(F.collect_set(F.size("tokens")))).first()[0]
+    return list(dict.fromkeys([*MASKS, *(mask for n in lengths for mask in _short_masks(n))]))
 
 
 def _around(hashes: Column, at: Column) -> Column:

@@ -218,6 +218,21 @@ def test_contamination_equals_brute_force(spark):
     assert not [k for k in missed if want[k] == 13]
 
 
+@pytest.mark.parametrize("lengths", [(5, 7, 10), (6, 8, 9), (11, 12), (8,)])
+def test_altered_short_items_are_found(spark, lengths):
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in lengths]
+    rows, want = [], {}
+    for n, text in items:
+        lost = n - int(np.ceil(0.8 * n))
+        for places in itertools.chain.from_iterable(itertools.combinations(range(n), c) for c in range(lost + 2)):
+            passage = ["changed" if k in places else w for k, w in enumerate(text.split())]
+            rows.append((len(rows), " ".join(["some", "words", *passage, "behind"])))
+            if len(places) <= lost:
+                want[len(rows) - 1, n] = n - len(places)
+    found = decontaminate.contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.agree for r in found} == want
+
+
 def test_shuffled_side_gives_the_same(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     rows = lambda: sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
