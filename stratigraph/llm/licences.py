@@ -1,6 +1,6 @@
 """Licence scan: a trained paragraph classifier confirmed by comparison with templates.
 
-A paragraph is a line. Its sparse features are the words and word pairs that occur in the licence templates, and how
+A paragraph is a line, or consecutive lines with words that hold a hard-wrapped notice together. Its sparse features are the words and word pairs that occur in the licence templates, and how
 many of its words do not. A multinomial logistic regression over licence families and an unknown class is trained on
 variants of the templates (words dropped, swapped, added, owners and years before them) and on lines of other text;
 a temperature set on variants it has not seen calibrates the probabilities, that of unknown included. A predicted
@@ -62,6 +62,9 @@ VOCABULARY = _vocabulary()
 SINGLE = {g for g in VOCABULARY if " " not in g}
 #: (family, word pairs) of each template, inner pairs only.
 SHAPES = [(family, {p for p in pairs_of(words_of(t)) if "^" not in p and "$" not in p}) for family, texts in TEMPLATES.items() for t in texts]
+#: Numbers of the templates that hold a word pair, words of the longest template.
+HOLDERS = {p: [k for k, (_, shape) in enumerate(SHAPES) if p in shape] for _, own in SHAPES for p in own}
+LONGEST = max(len(words_of(t)) for texts in TEMPLATES.values() for t in texts)
 WIDTH = len(VOCABULARY) + 3
 
 
@@ -86,7 +89,9 @@ class LicenceModel:
 
     def classify(self, line: str) -> tuple[str, float, float] | None:
         """(family, probability, share of its best template), or None if unknown or not confirmed."""
-        words = words_of(line)
+        return self.classify_words(words_of(line))
+
+    def classify_words(self, words: list[str]) -> tuple[str, float, float] | None:
         if not any(w in SINGLE for w in words):
             return None  # none of a template's words: no template can confirm it
         p = self.probabilities(words)
@@ -159,10 +164,60 @@ def train(plain: list[tuple[np.ndarray, np.ndarray]], seed: int = 5, rounds: int
     return LicenceModel(w, float(min(np.geomspace(0.2, 5, 61), key=loss)))
 
 
+def _strength(lines: list[list[str]], family: str) -> int:
+    """Most word pairs of a template of the family that the joined lines hold."""
+    own = set(pairs_of([w for line in lines for w in line]))
+    return max(len(own & shape) for f, shape in SHAPES if f == family)
+
+
+def _wrapped(lines: list[list[str]], model: LicenceModel, single: dict[int, tuple[str, float, float]]) -> Iterator[tuple[int, int, str, float, float]]:
+    """(first line, number of lines, family, probability, share) of notices that stand on several lines together.
+
+    ``lines`` are their words, ``single`` the lines that are notices of their own. A notice begins and ends with lines
+    that add to what it holds of a template, and holds more of it than the single notices inside hold of theirs. Its
+    inner lines have at most twice the words of the longest template.
+    """
+    inner = [{p for p in map(" ".join, zip(words, words[1:], strict=False)) if p in HOLDERS} for words in lines]
+    cross = [{f"{a[-1]} {b[0]}"} & HOLDERS.keys() if a and b else set() for a, b in zip(lines, lines[1:], strict=False)] + [set()]
+    at = 0
+    while at < len(lines):
+        hit, strength, words, end = None, 0, [], at
+        if inner[at] or cross[at]:
+            own, seen = set(), [0] * len(SHAPES)
+            while end < len(lines) and lines[end] and len(words) - len(lines[at]) <= 2 * LONGEST:
+                words += lines[end]
+                new = (inner[end] | (cross[end - 1] if end > at else set())) - own
+                own |= new
+                for k in (k for p in new for k in HOLDERS[p]):
+                    seen[k] += 1
+                end += 1
+                if end - at < 2 or not new or not any(n >= LEAST_SHARE * len(shape) for n, (_, shape) in zip(seen, SHAPES, strict=True)):
+                    continue
+                got = model.classify_words(words)
+                if got is None or (hit and got[0] != hit[2]):
+                    continue
+                now = _strength(lines[at:end], got[0])
+                rest = [_strength(lines[at + 1 : end], got[0]), _strength(lines[at : end - 1], got[0]), strength, *(_strength([lines[k]], single[k][0]) for k in range(at, end) if k in single)]
+                if now > max(rest):
+                    hit, strength = (at, end - at, *got), now
+        if hit:
+            yield hit
+        at += hit[1] if hit else 1
+
+
+def _notices(text: str | None, model: LicenceModel) -> list[tuple[int, int, str, float, float]]:
+    """(line, number of lines, family, probability, share) of the notices of a whole text, in order."""
+    lines = [words_of(line) for line in (text or "").split("\n")]
+    single = {k: hit for k, words in enumerate(lines) if (hit := model.classify_words(words))}
+    wrapped = list(_wrapped(lines, model, single))
+    covered = {k for at, n, *_ in wrapped for k in range(at, at + n)}
+    return sorted([*((k, 1, *hit) for k, hit in single.items() if k not in covered), *wrapped])
+
+
 def _found(batches: Iterator[pd.DataFrame], model: LicenceModel) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = [(d, k, *hit) for d, text in zip(batch["doc_id"], batch["text"], strict=True) for k, line in enumerate((text or "").split("\n")) if (hit := model.classify(line))]
-        made = pd.DataFrame(out, columns=["doc_id", "paragraph", "family", "probability", "template_share"])
+        out = [(d, *hit) for d, text in zip(batch["doc_id"], batch["text"], strict=True) for hit in _notices(text, model)]
+        made = pd.DataFrame(out, columns=["doc_id", "paragraph", "n_lines", "family", "probability", "template_share"])
         made["doc_id"] = made["doc_id"].astype("Int64")
         yield made
 
@@ -177,9 +232,9 @@ def _plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Licence paragraphs: (doc_id, paragraph, family, probability, template_share), one row each.
+    """Licence paragraphs: (doc_id, paragraph, n_lines, family, probability, template_share), one row each.
 
-    ``paragraph`` counts the lines of the whole text from 0. Null and empty texts have none, repeated rows give theirs
+    ``paragraph`` is its first line, counted in the whole text from 0, n_lines how many it stands on. Null and empty texts have none, repeated rows give theirs
     each, a null doc_id stays null, an empty table gives an empty result; other columns are not looked at. The
     classifier sees at most ``PLAIN_DOCS`` documents as other text; all documents are scanned.
     """
@@ -189,4 +244,4 @@ def scan(docs: DataFrame) -> DataFrame:
     got = rows.join(chosen, F.col("doc_id") == F.col("plain_id")).select("text").mapInPandas(_plain, "at binary, x binary").distinct().toPandas().sort_values(["at", "x"])
     plain = [(np.frombuffer(a, "<i8"), np.frombuffer(x, "<f8")) for a, x in zip(got["at"], got["x"], strict=True)]
     model = train(plain)
-    return rows.mapInPandas(lambda batches: _found(batches, model), "doc_id long, paragraph long, family string, probability double, template_share double")
+    return rows.mapInPandas(lambda batches: _found(batches, model), "doc_id long, paragraph long, n_lines long, family string, probability double, template_share double")

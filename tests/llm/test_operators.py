@@ -369,6 +369,29 @@ def test_licences(spark):
     assert got == {1: "MIT", 2: "CC-BY-NC", 4: "proprietary", 5: "Apache-2.0", 6: "AGPL-3.0"}
 
 
+def test_wrapped_notices_are_found(spark):
+    import textwrap
+
+    long = {
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+        "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "LGPL": "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License",
+        "CC0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
+    }
+    rows, want = [], {}
+    for (family, text), wide, mark in itertools.product(long.items(), (40, 60, 72), ("", "# ", " * ")):
+        lines = ["river stone cloud paper", "", *textwrap.wrap(text, wide), "", "green seven light house"]
+        rows.append((len(rows), "\n".join(mark + line for line in lines)))
+        want[len(rows) - 1] = family
+    got = defaultdict(set)
+    for r in licences.scan(spark.createDataFrame(rows, DOCS)).collect():
+        got[r.doc_id].add(r.family)
+        assert r.paragraph >= 2 and r.n_lines >= 1
+    assert {i: got[i] for i in want} == {i: {family} for i, family in want.items()}
+
+
 def test_planted_licence_lines_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     plain = re.compile(r"^(Licensed under (CC BY-NC 4\.0|the Apache License, Version 2\.0)|This work is licensed under the GNU General Public License, version 3|Released under the MIT License|All rights reserved)\.$")
