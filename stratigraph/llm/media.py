@@ -2,9 +2,10 @@
 
 An image is a grey raster in a binary column (netpbm P5). At several scales its corners are found (Harris), each
 gets an orientation from the intensity centroid of its disc, and 256 fixed binary tests on the turned disc give its
-descriptor. Eight tables, each over two neighbouring 32-bit parts of the descriptors, join images (descriptors that
-differ in at most three bits share a table entry for certain, others likely, and one entry over all corners is
-enough); descriptor pairs in a table's list are verified on all bits. For every pair of images that are left, all their descriptors are matched, and the matches must agree on one similarity
+descriptor. Eight tables, each over two neighbouring 32-bit parts of the descriptors, join images; one shared entry
+over all corners is enough. Descriptors that differ in two bits share an entry for certain, those in eight about every
+second time, those in ``BITS`` seldom: of copies reduced to 0.8 that would agree, about three of four are listed.
+For every pair of images that are left, all their descriptors are matched, and the matches must agree on one similarity
 transform. Cropped, turned, brightened or resized copies pass; single corners that happen to look alike do not.
 
 Skew: images of equal pixels are one image until the end. A list of more than ``BLOCK`` descriptors is dealt into
@@ -31,7 +32,7 @@ FACTOR, LEVELS, CORNERS, RADIUS, TESTS, SEED = 1.26, 4, 8, 9, 256, 20
 #: Most differing bits of matching descriptors, matches that must agree, pixels they may miss by.
 BITS, AGREE, MISS = 28, 5, 3.0
 #: Tables, parts that an entry covers; most images of a list that is paired out, and of a block of a longer one.
-TABLES, PARTS = 8, 5
+TABLES, PARTS = 8, 2
 SHORT, BLOCK = 32, 2048
 DESCRIBED = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("spots", T.BinaryType()), T.StructField("bits", T.BinaryType())])
 

@@ -417,6 +417,21 @@ def test_copies_of_images_are_linked(spark):
     assert sum(got[k] == want[k] for k in want) >= len(want) - 2 and all(got[k] // 10 == k // 10 for k in want)
 
 
+def test_most_reduced_copies_are_listed(spark):
+    rng = np.random.default_rng(5)
+    rows, agree = [], 0
+    for k in range(20):
+        base = sum(media._resize(rng.normal(0, 1, (g, g)), 96, 96) * w for g, w in ((6, 1), (12, 1), (24, 0.6)))
+        base = ((base - base.min()) / (base.max() - base.min()) * 255).round()
+        less = media._resize(base, 77, 77).round()
+        agree += media.agreeing(*media.describe(base), *media.describe(less)) >= media.AGREE
+        rows += [(2 * k, bytearray(media.encode(base))), (2 * k + 1, bytearray(media.encode(less)))]
+    got = {r.image_id: r.class_id for r in media.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    linked = sum(got[2 * k + 1] == got[2 * k] == 2 * k for k in range(20))
+    print("linked", linked, "of", agree)
+    assert agree >= 18 and linked >= 0.6 * agree
+
+
 def test_long_lists_are_joined_without_pairs(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = media.decode(media.render([float(v) for v in rng.normal(size=64)]))
