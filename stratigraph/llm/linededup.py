@@ -5,7 +5,9 @@ by document and position, so a very frequent key is spread over several partitio
 Streaming over that order gives, without another exchange, one row for every key and document: its first occurrence
 and the rest. Those rows are counted per key with partial sums; the document that keeps the key is the greatest.
 What returns to the documents is a compressed keep bitmap per document, never text: 64-line words in which a set bit
-keeps the line; words that keep every line are left out.
+keeps the line; words that keep every line are left out. The bitmaps are written and measured. Up to ``SENT_BYTES``
+they go to the documents, whose texts then stay where they were read; beyond that both sides are dealt by document and
+the bitmaps of a partition are hashed, so that no text is sorted either way.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from stratigraph.storage import materialize
 
 #: Least length of a key in code points, least number of documents.
 MIN_CHARS, MIN_DOCS = 20, 3
+#: Most bytes of bitmaps that are sent to every executor.
+SENT_BYTES = 32 << 20
 #: ASCII white space: space, tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,7 +51,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     the greatest of them only. Rows that share a doc_id are one document; a null doc_id is the least of all.
     """
     order = ["h1", "h2", "doc_id"]
-    ranged = _occurrences(docs, min_chars).repartitionByRange(*order).sortWithinPartitions(*order, "rid", "pos")
+    # written first, as dealing by range reads its input twice: once for the bounds
+    ranged = materialize(_occurrences(docs, min_chars), "lines").repartitionByRange(*order).sortWithinPartitions(*order, "rid", "pos")
     per_doc = materialize(ranged.groupBy(*order).agg(F.collect_list(F.struct("rid", "pos")).alias("places")), "lines")
     repeated = per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last_doc")).where(F.col("docs") >= min_docs)
     # written first, so that both sides of the join come straight from a table and Spark can split a frequent key
@@ -61,19 +66,22 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     )
 
 
-def _kept(line_array: Column, bitmap: Column) -> Column:
+def _kept(text: Column, bitmap: Column) -> Column:
     """The lines whose bit is set, joined by line feeds; a word that the bitmap lacks keeps all its lines."""
     bit = lambda at: F.getbit(F.coalesce(F.element_at(bitmap, F.floor(at / 64).cast("int")), F.lit(-1).cast("long")), at % 64)
-    return F.when(bitmap.isNull(), F.array_join(line_array, "\n")).otherwise(F.array_join(F.filter(line_array, lambda line, at: bit(at) == 1), "\n"))
+    return F.when(bitmap.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.filter(lines_of(text), lambda line, at: bit(at) == 1), "\n"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with added columns kept_text, n_lines, n_dropped and keep_bitmap (null: all lines stay)."""
-    marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), F.col("bitmap").alias("keep_bitmap"), F.col("n_dropped").alias("__gone"))
+    marks = materialize(bitmaps.select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), F.col("bitmap").alias("keep_bitmap"), F.col("n_dropped").alias("__gone")), "bitmaps")
+    rows, words = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keep_bitmap")), F.lit(0))).first()
+    marks = F.broadcast(marks) if 100 * rows + 16 * words <= SENT_BYTES else marks.hint("shuffle_hash")
     same = docs["doc_id"].eqNullSafe(marks["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == marks["__rid"])
+    text = F.coalesce("text", F.lit(""))
     return docs.join(marks, same, "left").withColumns({
-        "kept_text": _kept(lines_of("text"), F.col("keep_bitmap")),
-        "n_lines": F.size(lines_of("text")).cast("long"),
+        "kept_text": _kept(F.col("text"), F.col("keep_bitmap")),
+        "n_lines": (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
         "n_dropped": F.coalesce("__gone", F.lit(0).cast("long")),
     }).drop("__id", "__rid", "__gone")
 
