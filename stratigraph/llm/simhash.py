@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratigraph.llm.shingles import near_classes, node_column
+from stratigraph.llm.shingles import mark_column, near_classes
 from stratigraph.operators.components import connected_components
 from stratigraph.session import ship
-from stratigraph.storage import materialize
+from stratigraph.storage import discard, materialize
 
 #: Words in a shingle, seed of its hash, most differing bits of a link.
 WORDS, SEED, MAX_BITS = 3, 42, 3
@@ -38,6 +38,8 @@ LEAST_BYTES = 8 - MAX_BITS
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 #: Most different fingerprints that one block of a posting list holds.
 BLOCK = 2048
+#: Most rows of documents that go which the near-duplicate stage sends to every executor.
+SENT_ROWS = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -163,21 +165,32 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class of near texts (see ``shingles``) the least in (doc_id, node), once.
+    """The rows of ``docs`` that stay: of each class of near texts (see ``shingles``) the least in doc_id, once.
 
     This is not op3's contract of three-word shingles and three bits: texts are near at 0.8 of their five-word shingles.
     All columns are kept as they are. Texts are linked, not ids: rows of equal or null doc_id belong together only if
     their texts are near. A null doc_id sorts below all others. Texts without words are equal. Rows that equal the one
-    that stays in doc_id and words leave one row.
+    that stays in doc_id and words leave one row. Between rows of one least doc_id the hashes of the texts decide.
+
+    What goes is written and counted. Up to ``SENT_ROWS`` rows of it are sent to the documents, whose texts then are
+    not shuffled; beyond that both sides are dealt by document.
     """
     ship(docs.sparkSession)
-    text = F.col("text").cast("string")
-    texts = docs.select(node_column(text).alias("node"), text.alias("text"))
-    parts = near_classes(texts)
-    own = materialize(docs.select(F.col("doc_id").alias("kept_id"), node_column(text).alias("own")).groupBy("own").agg(F.min("kept_id").alias("some"), F.max(F.col("kept_id").isNull()).alias("empty")), "simhash")
-    first = own.select("own", F.struct(F.when(~F.col("empty"), F.col("some")).alias("kept_id"), F.col("own").alias("kept_node")).alias("least"))
-    classes = first.join(parts, first["own"] == parts["node"], "left").groupBy(F.coalesce("component", "own").alias("class")).agg(F.min("least").alias("least"))
-    least = materialize(classes.select("least.*"), "simhash")
-    marked = docs.withColumn("__node", node_column(text))
-    kept = marked.join(least, marked["doc_id"].eqNullSafe(least["kept_id"]) & (marked["__node"] == least["kept_node"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__node"]).drop("__node")
+    rid = lambda: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    marks = materialize(docs.select("doc_id", rid().alias("rid"), mark_column(F.col("text").cast("string")).alias("mark")).select("doc_id", "rid", "mark.*"), "simhash")
+    parts = near_classes(marks, texts, rid)
+    rows = marks.groupBy("doc_id", "rid", "node").agg(F.count(F.lit(1)).alias("n"))
+    named = materialize(rows.join(parts, "node", "left").withColumn("class", F.coalesce("component", "node")), "simhash")
+    firsts = named.groupBy("class").agg(F.min(F.struct("doc_id", "node", "rid")).alias("least"), F.sum("n").alias("all")).where("all > 1")
+    met = named.join(firsts, "class")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("rid") == F.col("least.rid"))
+    gone = materialize(met.select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), "n", stays.alias("__stays")).where("n > 1 OR NOT __stays").drop("n"), "simhash")
+    for used in (marks, named):
+        discard(used)
+    gone = F.broadcast(gone) if gone.count() <= SENT_ROWS else gone.hint("shuffle_hash")
+    told = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (rid() == gone["__rid"]), "left")
+    bare = [F.col(f"`{c}`") for c in docs.columns]
+    # rows that stay and come more than once: the only ones that are grouped
+    twice = told.where("__stays").dropDuplicates(["__id", "__rid"])
+    return told.where("__stays IS NULL").select(*bare).union(twice.select(*bare))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, __file__.rpartition("/llm/")[0])
 from oracle import check, connect
 
-from stratigraph.llm import chat, decontaminate, language, licences, linededup, media, packing, quality, secrets, simhash
+from stratigraph.llm import chat, decontaminate, language, licences, linededup, lists, media, packing, quality, secrets, shingles, simhash
 from stratigraph.llm.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
@@ -133,6 +133,66 @@ def test_simhash_links_of_large_groups(spark, monkeypatch, block):
     assert all((prints[r.u] ^ prints[r.v]).bit_count() <= 3 for r in links.collect())
 
 
+def plain_near_classes(texts, words=5, similar=(4, 5)):
+    """Least id of each text's class: texts are linked at 0.8 of their five-word shingles, all pairs compared."""
+    ids, sets = list(texts), []
+    for t in texts.values():
+        own = "".join(c.lower() if c.isascii() else c for c in t or "").encode().split()
+        sets.append({tuple(own[k : k + words]) for k in range(max(1, len(own) - words + 1))})
+    top = list(range(len(ids)))
+
+    def root(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(ids)), 2):
+        both = len(sets[a] & sets[b])
+        if similar[1] * both >= similar[0] * (len(sets[a]) + len(sets[b]) - both):
+            top[root(a)] = root(b)
+    least = defaultdict(lambda: 10**9)
+    for k, i in enumerate(ids):
+        least[root(k)] = min(least[root(k)], i)
+    return {i: least[root(k)] for k, i in enumerate(ids)}
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_dedup_of_a_large_group_equals_brute_force(spark, monkeypatch, block):
+    """One text and 150 copies of it with ever more changes, which chain; other texts beside."""
+    monkeypatch.setattr(lists, "BLOCK", block)
+    rng = random.Random(21)
+    base = [rng.choice(WORDS) + str(rng.randrange(60)) for _ in range(160)]
+    texts = {}
+    for k in range(150):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 8, 10])):
+            words[rng.randrange(160)] = f"new{rng.randrange(10**6)}"
+        texts[k] = " ".join(words)
+    far = texts[3].split()
+    for k in range(10):  # a chain that leads away from the group
+        far[16 * k : 16 * k + 3] = [f"far{k}"] * 3
+        texts[200 + k] = " ".join(far)
+    texts |= {300 + k: prose(rng, 80) for k in range(30)} | {400: None, 401: ""}
+    classes = plain_near_classes(texts)
+    assert 35 < len(set(classes.values())) < 150
+    got = simhash.near_dedup(spark.createDataFrame(list(texts.items()), DOCS)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(classes.values()))
+
+
+@pytest.mark.parametrize("way", ["sent", "dealt"])
+def test_near_dedup_returns_rows_as_they_are(spark, monkeypatch, way):
+    if way == "dealt":
+        monkeypatch.setattr(simhash, "SENT_ROWS", -1)
+        monkeypatch.setattr(shingles, "SENT_NODES", -1)
+    rng = random.Random(31)
+    a, b = prose(rng, 90), prose(rng, 90)
+    rows = [(4, a, "x", 1.0), (2, a, "y", None), (2, a, "y", None), (7, b, None, 3.0), (None, None, "z", 4.0), (9, b + "  ", "w", 5.0), (1, "alone", "n", 6.0)]
+    df = spark.createDataFrame(rows, DOCS + ", source string, __n double")
+    got = simhash.near_dedup(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[1], rows[3], rows[4], rows[6]], key=repr)
+
+
 def test_near_dedup_keeps_one_of_each_class(spark):
     rng = random.Random(1)
     a, b = prose(rng, 400), prose(rng, 400)

@@ -4,7 +4,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
-from test_operators import plain_classes, plain_overlap, plain_print
+from test_operators import plain_near_classes, plain_overlap
 
 DIR = "/root/testdata/sf0.001"
 
@@ -33,7 +33,7 @@ def test_stages_by_brute_force(spark):
     assert {r.doc_id: r.text for r in rows} == want and lean.columns == docs.columns and all(r.n_chars == len(r.text) for r in rows)
 
     single = stages["near_duplicates"](spark, lean, DIR).cache()
-    classes = plain_classes(list(want), [plain_print(t) for t in want.values()])
+    classes = plain_near_classes(want)
     assert sorted(r.doc_id for r in single.collect()) == sorted(set(classes.values()))
 
     clean = stages["decontamination"](spark, single, DIR).cache()
