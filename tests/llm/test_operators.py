@@ -338,6 +338,25 @@ def test_packing_round_trip(spark):
     assert sum(len(o) for o in by_doc.values()) < 2.5 * len(ids) + sum(map(len, ids.values())) / 2048
 
 
+def test_texts_that_the_fast_encoder_gives_up(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(8)
+    mixed = "".join(rng.choice(["word ", "\n" * 50, " " * 3000, "日本語", "\t\t", "0123", "!!", "<|endoftext|>", "é\u0301", "\U0001f600", "\r\n", "\x00", "\u2003" * 9]) for _ in range(4000))
+    texts = {1: " " * 1_000_000, 2: "a" + " " * 999_999 + "b", 3: "\n" * 1_000_000, 4: mixed, 5: "x" * 200_000}
+    encode = packing.encoder()
+    ids = {k: [*exact.encode(t, add_special_tokens=False).ids, 1] for k, t in texts.items()}
+    for k, t in texts.items():
+        assert [*encode(t), 1] == ids[k]
+    pieces = packing.pack(spark.createDataFrame(list(texts.items()), DOCS)).collect()
+    assert {p.doc_id: p.doc_tokens for p in pieces} == {k: len(own) for k, own in ids.items()}
+    for p in pieces:
+        assert zlib.crc32(np.array(ids[p.doc_id][p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32
+
+
 def test_packing_balances_step_groups(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = packing.pack(docs).where("sequence_tokens = 2048").select("step_group", "sequence_id").distinct().groupBy("step_group").count().collect()
