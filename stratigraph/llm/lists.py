@@ -29,6 +29,8 @@ from stratigraph.storage import discard, materialize
 BLOCK = 512
 #: Links that one task joins; more take rounds.
 SMALL = 10_000
+#: Most repeated keys (8 bytes each and as much for their count) that are sent to the lists.
+SENT_KEYS = 2_000_000
 
 #: Given the payload columns of a group, a function that tells which of the rows ``others`` are near to row ``one``.
 Matcher = Callable[[dict[str, np.ndarray]], Callable[[int, np.ndarray], np.ndarray]]
@@ -106,11 +108,11 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def list_classes(listed: DataFrame, payload: Callable[[DataFrame], DataFrame], matcher: Matcher) -> DataFrame:
     """(node, component) of the nodes of ``listed (key, node)`` that are linked to another.
 
-    ``listed`` has a row once and should be a written table. ``payload`` gets the table (node) of the nodes that share
+    ``listed`` has a row once; it is computed twice. ``payload`` gets the table (node) of the nodes that share
     a list with another, each once, and returns it with the columns that ``matcher`` compares; its result is written.
     """
-    counted = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(listed.join(counted, "key"), "lists")
+    counted = materialize(listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
+    shared = materialize(listed.join(F.broadcast(counted) if counted.count() <= SENT_KEYS else counted, "key"), "lists")
     meets = shared.groupBy("node").agg(F.sum(F.col("n") - 1).alias("meets"))
     heads = shared.join(meets, "node").groupBy("key").agg(
         F.max(F.struct("meets", "node"))["node"].alias("pivot"),
@@ -138,6 +140,6 @@ def list_classes(listed: DataFrame, payload: Callable[[DataFrame], DataFrame], m
     left = materialize(named.join(open_lists, "key"), "lists")
     more = materialize(_compared(_dealt(left), told, matcher), "lists")
     out = materialize(connected_components(stars.union(more), small=SMALL), "lists")
-    for used in (shared, heads, lists, told, pairs, sizes, stars, named, left, more):
+    for used in (counted, shared, heads, lists, told, pairs, sizes, stars, named, left, more):
         discard(used)
     return out

@@ -1,21 +1,24 @@
 """Copies among images by local descriptors.
 
-An image is a grey raster in a binary column (netpbm P5). At several scales its corners are found (Harris), each
-gets an orientation from the intensity centroid of its disc, and 256 fixed binary tests on the turned disc give its
-descriptor. Eight tables, each over two neighbouring 32-bit parts of the descriptors, join images; one shared entry
-over all corners is enough. Descriptors that differ in two bits share an entry for certain, those in eight about every
-second time, those in ``BITS`` seldom: of copies reduced to 0.8 that would agree, about three of four are listed.
-For every pair of images that are left, all their descriptors are matched, and the matches must agree on one similarity
-transform. Cropped, turned, brightened or resized copies pass; single corners that happen to look alike do not.
-
-Skew: images of equal pixels are one image until the end. A list of more than ``BLOCK`` descriptors is dealt into
-blocks that meet two by two in groups of their own, so no task holds more than two blocks.
+An image is a grey raster in a binary column (netpbm P5). At scales down to the smallest usable one its corners are
+found (Harris), each gets an orientation from the intensity centroid of its disc, and 256 fixed binary tests on the
+turned disc give its descriptor. The number of corners grows with the area.
+
+Hamming tables: a descriptor has eight parts of 32 bits; table t lists part t. Descriptors that differ in at most seven
+bits agree in one part at least. Smooth pictures have many like corners, so an entry holds two of them: part t of a
+corner and of one of its ``NEIGHBOURS`` nearest of the same scale, with the turn and distance between them in coarse
+steps, which a change of size or angle leaves as they are. Images that share an entry are held against each other as
+``lists`` says: all descriptors are matched, and the matches must agree on one similarity transform in ``AGREE`` places.
+Cropped, turned, brightened or resized copies pass; corners that happen to look alike do not.
+
+Skew: images of equal pixels are one image until the end, lists are held against a pivot and dealt into blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -23,17 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratigraph.operators.components import connected_components
+from stratigraph.llm.lists import list_classes
 from stratigraph.session import ship
 from stratigraph.storage import materialize
 
-#: Pyramid factor, levels, corners a level, radius of a disc, tests, seed of the tests.
-FACTOR, LEVELS, CORNERS, RADIUS, TESTS, SEED = 1.26, 4, 8, 9, 256, 20
-#: Most differing bits of matching descriptors, matches that must agree, pixels they may miss by.
+#: Pyramid factor, pixels of a level for each of its corners, least and most corners of a level, radius of a disc, tests, seed of the tests.
+FACTOR, AREA, FEWEST, MOST, RADIUS, TESTS, SEED = 1.13, 512, 8, 512, 9, 256, 20
+#: Most differing bits of matching descriptors, places that must agree, pixels they may miss by.
 BITS, AGREE, MISS = 28, 5, 3.0
-#: Tables, parts that an entry covers; most images of a list that is paired out, and of a block of a longer one.
-TABLES, PARTS = 8, 2
-SHORT, BLOCK = 32, 2048
+#: Parts of a descriptor, neighbours that a corner is listed with, steps of a whole turn, steps of a doubled distance, least distance in pixels of the level.
+PARTS, NEIGHBOURS, TURNS, STEPS, APART = 8, 4, 6, 2, 6
 DESCRIBED = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("spots", T.BinaryType()), T.StructField("bits", T.BinaryType())])
 
 
@@ -94,7 +96,7 @@ def describe(pixels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     if pixels is None:
         return spots[0], bits[0]
     ends, disc = _tests()
-    for level in range(LEVELS):
+    for level in count():
         scale = FACTOR**level
         high, wide = round(pixels.shape[0] / scale), round(pixels.shape[1] / scale)
         if min(high, wide) < 2 * RADIUS + 5:
@@ -109,7 +111,7 @@ def describe(pixels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         at = np.argwhere((inner >= around) & (inner > max(1.0, 0.01 * strength.max())))
         if not len(at):
             continue
-        order = np.lexsort((at[:, 1], at[:, 0], -inner[at[:, 0], at[:, 1]]))[:CORNERS]
+        order = np.lexsort((at[:, 1], at[:, 0], -inner[at[:, 0], at[:, 1]]))[: min(MOST, max(FEWEST, high * wide // AREA))]
         at = at[order] + edge
         soft = _box(a, 2)
         patch = soft[at[:, :1] + disc[:, 0], at[:, 1:] + disc[:, 1]]
@@ -127,25 +129,79 @@ def describe(pixels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def agreeing(spots_a: np.ndarray, bits_a: np.ndarray, spots_b: np.ndarray, bits_b: np.ndarray) -> int:
-    """Most matches of two images that one similarity transform explains."""
-    gap = np.bitwise_count(bits_a[:, None] ^ bits_b[None]).sum(2, dtype=int)
+    """Most places of two images that one similarity transform explains; the order of the two does not matter.
+
+    Candidates are the transforms that one match gives by itself, and those it gives with up to 16 others.
+    """
+    if min(len(bits_a), len(bits_b)) < AGREE:
+        return 0
+    if (len(bits_a), bits_a.tobytes(), spots_a.tobytes()) > (len(bits_b), bits_b.tobytes(), spots_b.tobytes()):
+        spots_a, bits_a, spots_b, bits_b = spots_b, bits_b, spots_a, bits_a
+    gap = np.bitwise_count(bits_a[:, None] ^ bits_b[None]).sum(2, dtype=np.int16)
     i, j = np.nonzero((gap <= BITS) & (gap == gap.min(1, keepdims=True)) & (gap == gap.min(0, keepdims=True)))
     if len(i) < AGREE:
         return 0
     a, b = spots_a[i], spots_b[j]
     za, zb = a[:, 1] + 1j * a[:, 0], b[:, 1] + 1j * b[:, 0]
-    turn = (b[:, 2] / a[:, 2]) * np.exp(1j * (b[:, 3] - a[:, 3]))
-    least, best = MISS * np.maximum(b[:, 2], 1), 0
-    for k in range(len(i)):  # the transform that one match alone gives, and those that it gives with another
-        far = np.abs(za - za[k]) > 8
-        for t in [turn[k], *((zb[far] - zb[k]) / (za[far] - za[k]))]:
-            if 0.2 < abs(t) < 5:
-                inside = np.abs(zb - zb[k] - t * (za - za[k])) <= least
-                # places that several levels found count once
-                best = max(best, len({(round(z.real / 4), round(z.imag / 4)) for z in za[inside]}))
+    # places that several levels found count once, in either image
+    cell = lambda z: np.unique(np.round(z / 4), return_inverse=True)[1]
+    places = [np.eye(c.max() + 1, dtype=np.float32)[c] for c in (cell(za), cell(zb))]
+    if min(p.shape[1] for p in places) < AGREE:
+        return 0
+    least = MISS * np.maximum(b[:, 2], 1)
+
+    def explained(at: np.ndarray, turn: np.ndarray) -> int:
+        sane = (np.abs(turn) > 0.2) & (np.abs(turn) < 5)
+        best = 0
+        for some in np.array_split(np.flatnonzero(sane), 1 + len(turn) * len(i) // 2_000_000):
+            k, t = at[some], turn[some]
+            inside = (np.abs(zb - zb[k][:, None] - t[:, None] * (za - za[k][:, None])) <= least).astype(np.float32)
+            if len(inside):
+                best = max(best, int(np.minimum(*[((inside @ p) > 0).sum(1) for p in places]).max()))
+        return best
+
+    own = np.arange(len(i))
+    best = explained(own, (b[:, 2] / a[:, 2]) * np.exp(1j * (b[:, 3] - a[:, 3])))
+    if best < AGREE:
+        for step in np.unique(np.linspace(1, len(i) - 1, min(16, len(i) - 1)).astype(int)):
+            with_ = (own + step) % len(i)
+            far = np.flatnonzero(np.abs(za[with_] - za) > 8)
+            best = max(best, explained(far, (zb[with_] - zb)[far] / (za[with_] - za)[far]))
     return best
 
 
+def entries(spots: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Keys of an image in the tables, each once: part t of two neighbouring corners with the turn and distance between.
+
+    Of the two, the one with the lesser part comes first, and turns are measured from its orientation.
+    """
+    out, parts = [np.zeros(0, np.uint64)], bits.view("<u4").reshape(-1, PARTS).astype(np.uint64)
+    for scale in np.unique(spots[:, 2]):
+        own = np.flatnonzero(spots[:, 2] == scale)
+        z, angle = (spots[own, 1] + 1j * spots[own, 0]) / scale, spots[own, 3]
+        far = np.abs(z[:, None] - z)
+        far[far < APART] = np.inf
+        close = np.argsort(far, 1, kind="stable")[:, :NEIGHBOURS]
+        i, j = np.repeat(np.arange(len(own)), close.shape[1]), close.ravel()
+        i, j = np.unique(np.sort(np.c_[i, j][np.isfinite(far[i, j])], 1), axis=0).T
+        distance = np.floor(np.log2(far[i, j]) * STEPS).astype(np.uint64)
+        steps = lambda turn: (np.floor(turn / (2 * np.pi) * TURNS) % TURNS).astype(np.uint64)
+        for t in range(PARTS):
+            swap = parts[own[i], t] > parts[own[j], t]
+            a, b = np.where(swap, j, i), np.where(swap, i, j)
+            place = (distance * np.uint64(TURNS) + steps(np.angle(z[b] - z[a]) - angle[a])) * np.uint64(TURNS) + steps(angle[b] - angle[a])
+            out.append(_mixed(np.full(len(a), t, np.uint64), parts[own[a], t], parts[own[b], t], place))
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def _mixed(*columns: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 @F.pandas_udf(DESCRIBED)
 def _describe_udf(images: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     from hashlib import sha256
@@ -165,70 +221,16 @@ def _render_udf(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([render(v) for v in batch], dtype=object)
 
 
-@F.pandas_udf(T.IntegerType())
-def _agreeing_udf(spots_a: pd.Series, bits_a: pd.Series, spots_b: pd.Series, bits_b: pd.Series) -> pd.Series:
-    return pd.Series([agreeing(_spots(a), _bits(b), _spots(c), _bits(d)) for a, b, c, d in zip(spots_a, bits_a, spots_b, bits_b, strict=True)], dtype="int32")
-
-
 def rendered(vectors: str | Column) -> Column:
     """Image column of an array column."""
     return _render_udf(vectors)
 
 
 def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, rep): the entries of an image in all tables, each once; a key mixes the table's number and its parts."""
-    prime = np.uint64(0x9E3779B97F4A7C15)
-    for batch in batches:
-        keys, reps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for rep, raw in zip(batch["rep"], batch["bits"], strict=True):
-            parts = np.frombuffer(raw, "<u4").reshape(-1, TABLES).astype(np.uint64)
-            mixed = np.broadcast_to(np.arange(TABLES, dtype=np.uint64), parts.shape)
-            for k in range(PARTS):
-                mixed = (mixed ^ np.roll(parts, -k, 1)) * prime
-                mixed = mixed ^ (mixed >> np.uint64(29))
-            own = np.unique(mixed.view(np.int64))
-            keys.append(own)
-            reps.append(np.full(len(own), rep))
-        yield pd.DataFrame({"key": np.concatenate(keys), "rep": np.concatenate(reps)})
-
-
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of a partition that comes sorted by ``keys``; a group may span batches."""
-    kept = None
-    for batch in batches:
-        rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-        if not len(rows):
-            continue
-        number = (rows[keys] != rows[keys].shift()).any(axis=1).cumsum().to_numpy()
-        kept = rows[number == number[-1]]
-        for _, group in rows[number < number[-1]].groupby(number[number < number[-1]]):
-            yield group
-    if kept is not None:
-        yield kept
-
-
-def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(u, v), u < v: images of short lists, which come sorted by key and image; each pair once a batch."""
-    kept = None
+    """(key, node) of the entries of images."""
     for batch in batches:
-        rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-        last = (rows["key"] == rows["key"].iloc[-1]).to_numpy() if len(rows) else np.zeros(0, bool)
-        kept = rows[last]
-        yield _pairs_of(rows[~last])
-    if kept is not None:
-        yield _pairs_of(kept)
-
-
-def _pairs_of(rows: pd.DataFrame) -> pd.DataFrame:
-    key, reps = rows["key"].to_numpy(), rows["rep"].to_numpy(np.int64)
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-    sizes = np.diff(np.r_[starts, len(key)])
-    found = [np.zeros((0, 2), np.int64)]
-    for n in np.unique(sizes[sizes > 1]):
-        a, b = np.triu_indices(n, 1)
-        lists = reps[starts[sizes == n][:, None] + np.arange(n)]
-        found.append(np.stack([lists[:, a].ravel(), lists[:, b].ravel()], 1))
-    return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["u", "v"])
+        keys = [entries(_spots(s), _bits(b)) for s, b in zip(batch["spots"], batch["bits"], strict=True)]
+        yield pd.DataFrame({"key": np.concatenate([np.zeros(0, np.int64), *keys]), "node": np.repeat(batch["node"].to_numpy(np.int64), [len(k) for k in keys])})
 
 
 def _spots(raw: bytes) -> np.ndarray:
@@ -239,20 +241,10 @@ def _bits(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64).reshape(-1, 4)
 
 
-def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Verified links that join whatever links of a long list's group join."""
-    for group in _groups(batches, ["key", "block_a", "block_b"]):
-        told = [(r, _spots(s), _bits(b)) for r, s, b in zip(group["rep"], group["spots"], group["bits"], strict=True)]
-        links, left = [], list(range(len(told)))
-        while left:
-            frontier, left = [left[0]], left[1:]
-            while frontier and left:
-                at = frontier.pop()
-                near = {k for k in left if agreeing(*told[at][1:], *told[k][1:]) >= AGREE}
-                links += [(told[at][0], told[k][0]) for k in near]
-                frontier += near
-                left = [k for k in left if k not in near]
-        yield pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+def match(group: dict[str, np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which images show the same picture as one of a group."""
+    spots, bits = [_spots(s) for s in group["spots"]], [_bits(b) for b in group["bits"]]
+    return lambda one, others: np.array([agreeing(spots[one], bits[one], spots[k], bits[k]) >= AGREE for k in others], bool)
 
 
 def image_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
@@ -267,22 +259,13 @@ def image_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "
     lowest = F.lit(-(2**63)).cast("long")
     told = materialize(images.select(F.col(id_col).cast("long").alias("image_id"), _describe_udf(F.col(image_col)).alias("d")).select("image_id", "d.*"), "media")
     reps = materialize(told.where("digest is not null").groupBy("digest").agg(F.min(F.coalesce("image_id", lowest)).alias("rep"), F.first("spots").alias("spots"), F.first("bits").alias("bits")), "media")
-    listed = reps.select("rep", "bits").mapInPandas(_listed, "key long, rep long")
-    counts = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(listed.join(counts, "key"), "media")
-    short = shared.where(F.col("n") <= SHORT).select("key", "rep")
-    pairs = short.repartition("key").sortWithinPartitions("key", "rep").mapInPandas(_pairs, "u long, v long").distinct()
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("spots").alias(f"spots_{x}"), F.col("bits").alias(f"bits_{x}"))
-    matched = pairs.join(side("u"), "u").join(side("v"), "v")
-    links = matched.where(_agreeing_udf("spots_u", "bits_u", "spots_v", "bits_v") >= AGREE).select("u", "v")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    meet = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("block_a"), F.greatest(own, j).alias("block_b")))
-    long = shared.where(F.col("n") > SHORT).select("key", "rep", F.inline(meet)).join(reps.drop("digest"), "rep")
-    verified = long.repartition("key", "block_a", "block_b").sortWithinPartitions("key", "block_a", "block_b").mapInPandas(_forest, "u long, v long")
-    parts = connected_components(links.union(verified))
-    classes = reps.select("digest", "rep").join(parts, F.col("rep") == F.col("node"), "left")
-    classes = materialize(classes.select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component")), "media")
+    # images of equal pixels are one node, named by their digest, as ids may be null or repeated
+    nodes = reps.select(F.xxhash64("digest").alias("node"), "spots", "bits")
+    parts = list_classes(nodes.mapInPandas(_listed, "key long, node long"), lambda wanted: nodes.join(wanted, "node"), match)
+    own = reps.select("digest", "rep").join(parts, F.xxhash64("digest") == F.col("node"), "left").select("digest", "rep", F.coalesce("component", F.xxhash64("digest")).alias("class"))
+    own = materialize(own, "media")
+    least = materialize(own.groupBy("class").agg(F.min("rep").alias("component")), "media")
+    classes = materialize(own.join(least, "class").select(F.col("digest").alias("d"), "component"), "media")
     out = told.join(classes, F.col("digest") == F.col("d"), "left")
     known = F.coalesce("component", "image_id")
     return out.select("image_id", F.when(known != lowest, known).alias("class_id"), (F.octet_length("spots") / 32).cast("long").alias("n_spots"))

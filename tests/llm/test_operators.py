@@ -511,13 +511,89 @@ def test_most_reduced_copies_are_listed(spark):
     assert agree >= 18 and linked >= 0.6 * agree
 
 
+def _picture(rng, size=128):
+    base = sum(media._resize(rng.normal(0, 1, (g, g)), size, size) * w for g, w in ((6, 1), (12, 1), (24, 0.6)))
+    return ((base - base.min()) / (base.max() - base.min()) * 255).round()
+
+
+def _edits(base, rng):
+    n = len(base)
+    yield "crop 10 %", base[n // 20 :, n // 20 :]
+    yield "crop 25 %", base[n // 8 :, : n - n // 8]
+    yield "crop to a quarter", base[n // 4 : 3 * n // 4, n // 4 : 3 * n // 4]
+    for factor in (0.7, 0.8, 1.25, 1.4):
+        soft = media._box(base, 1) if factor < 1 else base
+        yield f"resize {factor}", media._resize(soft, round(n * factor), round(n * factor)).round()
+    yield "rotate", np.rot90(base).copy()
+    yield "noise 3", np.clip(base + rng.normal(0, 3, base.shape), 0, 255).round()
+    yield "noise 10", np.clip(base + rng.normal(0, 10, base.shape), 0, 255).round()
+    yield "brightness", np.clip(base * 0.8 + 20, 0, 255).round()
+
+
+def test_recall_of_each_edit(spark):
+    rng = np.random.default_rng(7)
+    rows, kinds = [], defaultdict(list)
+    for k in range(20):
+        base = _picture(rng)
+        rows.append((1000 * k, bytearray(media.encode(base))))
+        for e, (kind, image) in enumerate(_edits(base, rng), 1):
+            rows.append((1000 * k + e, bytearray(media.encode(image))))
+            kinds[kind].append((1000 * k, 1000 * k + e))
+    out = media.image_copies(spark.createDataFrame(rows, "image_id long, image binary").repartition(8)).collect()
+    got = {r.image_id: r.class_id for r in out}
+    recall = {kind: sum(got[a] == got[b] for a, b in pairs) / len(pairs) for kind, pairs in kinds.items()}
+    print(recall)
+    assert all(c // 1000 == i // 1000 for i, c in got.items())
+    # a quarter of 128 x 128 pixels keeps a few corners only
+    assert recall.pop("crop to a quarter") >= 0.6 and all(r >= 0.9 for r in recall.values()), recall
+
+
+def test_image_classes_of_the_query_against_all_pairs(spark):
+    """Every pair that agrees well is in one class, and every class hangs together over agreeing pairs."""
+    rows = QUERIES["op2_media"](spark, DIR).collect()
+    vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()}
+    assert {r.image_id for r in rows} == set(vectors)
+    told = {i: media.describe(media.decode(media.render(v))) for i, v in vectors.items()}
+    got = {r.image_id: r.class_id for r in rows}
+    top = {i: i for i in told}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(told), 2):
+        n = media.agreeing(*told[a], *told[b])
+        assert n < media.AGREE + 3 or got[a] == got[b]
+        if n >= media.AGREE:
+            top[max(root(a), root(b))] = min(root(a), root(b))
+    assert all(root(i) == root(c) for i, c in got.items())
+
+
+def test_images_of_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    a, b = (bytearray(media.encode(_picture(rng, 64))) for _ in range(2))
+    rows = [(None, a), (5, a), (5, b), (7, b), (9, bytearray(b"P5 x")), (9, None), (None, None), (3, bytearray(media.encode(np.zeros((64, 64)))))]
+    df = spark.createDataFrame(rows, "image_id long, image binary").withColumns({c: F.lit("x") for c in ("node", "key", "class", "digest", "spots", "bits", "rep")})
+    got = Counter((r.image_id, r.class_id) for r in media.image_copies(df).collect())
+    assert got == Counter([(None, None), (5, None), (5, 5), (7, 5), (9, 9), (9, 9), (None, None), (3, 3)])
+
+
+def test_agreement_does_not_depend_on_order():
+    rng = np.random.default_rng(1)
+    for _ in range(10):
+        base = _picture(rng, 64)
+        for _, image in _edits(base, rng):
+            a, b = media.describe(base), media.describe(image)
+            assert media.agreeing(*a, *b) == media.agreeing(*b, *a)
+
+
 def test_long_lists_are_joined_without_pairs(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = media.decode(media.render([float(v) for v in rng.normal(size=64)]))
     rows = [(k, bytearray(media.encode(np.clip(base.astype(int) + k, 0, 255)))) for k in range(7)]
     df = spark.createDataFrame(rows, "image_id long, image binary")
-    monkeypatch.setattr(media, "SHORT", 3)
-    monkeypatch.setattr(media, "BLOCK", 5)
+    monkeypatch.setattr(lists, "BLOCK", 5)
     assert {r.class_id for r in media.image_copies(df).collect()} == {0}
     assert media.image_copies(df.limit(0)).count() == 0
 
