@@ -132,6 +132,11 @@ def _place(slot: Column, n: Column, masks: list[str]) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any overlap with ``benchmark``, unchanged."""
-    hit = contaminated(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct()
+    """The rows of ``docs`` without any overlap with ``benchmark``, unchanged.
+
+    The ids that go are written and counted. Up to ``BROADCAST_ROWS`` of them are sent to the documents, whose texts are
+    then not shuffled.
+    """
+    hit = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
+    hit = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")

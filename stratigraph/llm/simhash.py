@@ -182,11 +182,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     parts = near_classes(marks, texts, rid)
     rows = marks.groupBy("doc_id", "rid", "node").agg(F.count(F.lit(1)).alias("n"))
     named = materialize(rows.join(parts, "node", "left").withColumn("class", F.coalesce("component", "node")), "simhash")
-    firsts = named.groupBy("class").agg(F.min(F.struct("doc_id", "node", "rid")).alias("least"), F.sum("n").alias("all")).where("all > 1")
+    # written, so that both sides of the join come straight from a table and Spark can split a large class
+    firsts = materialize(named.groupBy("class").agg(F.min(F.struct("doc_id", "node", "rid")).alias("least"), F.sum("n").alias("all")).where("all > 1"), "simhash")
     met = named.join(firsts, "class")
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("rid") == F.col("least.rid"))
     gone = materialize(met.select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), "n", stays.alias("__stays")).where("n > 1 OR NOT __stays").drop("n"), "simhash")
-    for used in (marks, named):
+    for used in (marks, named, firsts):
         discard(used)
     gone = F.broadcast(gone) if gone.count() <= SENT_ROWS else gone.hint("shuffle_hash")
     told = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (rid() == gone["__rid"]), "left")
