@@ -34,8 +34,10 @@ from stratigraph.storage import materialize
 FACTOR, AREA, FEWEST, MOST, RADIUS, TESTS, SEED = 1.13, 512, 8, 512, 9, 256, 20
 #: Most differing bits of matching descriptors, places that must agree, pixels they may miss by.
 BITS, AGREE, MISS = 28, 5, 3.0
-#: Parts of a descriptor, neighbours that a corner is listed with, steps of a whole turn, steps of a doubled distance, least distance in pixels of the level.
-PARTS, NEIGHBOURS, TURNS, STEPS, APART = 8, 4, 6, 2, 6
+#: Parts of a descriptor, neighbours that a corner is listed with, least distance between them in pixels of the level.
+PARTS, NEIGHBOURS, APART = 8, 6, 10
+#: Steps of a whole turn, steps of a doubled distance, places from the first corner's part to the other's.
+TURNS, STEPS, OTHER = 8, 3, 3
 DESCRIBED = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("spots", T.BinaryType()), T.StructField("bits", T.BinaryType())])
 
 
@@ -171,27 +173,30 @@ def agreeing(spots_a: np.ndarray, bits_a: np.ndarray, spots_b: np.ndarray, bits_
 
 
 def entries(spots: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Keys of an image in the tables, each once: part t of two neighbouring corners with the turn and distance between.
+    """Keys of an image in the tables, each once: parts of two neighbouring corners with the turn and distance between.
 
-    Of the two, the one with the lesser part comes first, and turns are measured from its orientation.
+    Of the two, the one with the lesser part t comes first: its part t is taken and of the other the part ``OTHER``
+    places on, as the discs of neighbours overlap. Turns are measured from the first one's orientation.
     """
-    out, parts = [np.zeros(0, np.uint64)], bits.view("<u4").reshape(-1, PARTS).astype(np.uint64)
+    met = [np.zeros((0, 2), np.int64)]
+    place, angle = (spots[:, 1] + 1j * spots[:, 0]) / spots[:, 2], spots[:, 3]
     for scale in np.unique(spots[:, 2]):
         own = np.flatnonzero(spots[:, 2] == scale)
-        z, angle = (spots[own, 1] + 1j * spots[own, 0]) / scale, spots[own, 3]
-        far = np.abs(z[:, None] - z)
+        far = np.abs(place[own][:, None] - place[own])
         far[far < APART] = np.inf
         close = np.argsort(far, 1, kind="stable")[:, :NEIGHBOURS]
         i, j = np.repeat(np.arange(len(own)), close.shape[1]), close.ravel()
-        i, j = np.unique(np.sort(np.c_[i, j][np.isfinite(far[i, j])], 1), axis=0).T
-        distance = np.floor(np.log2(far[i, j]) * STEPS).astype(np.uint64)
-        steps = lambda turn: (np.floor(turn / (2 * np.pi) * TURNS) % TURNS).astype(np.uint64)
-        for t in range(PARTS):
-            swap = parts[own[i], t] > parts[own[j], t]
-            a, b = np.where(swap, j, i), np.where(swap, i, j)
-            place = (distance * np.uint64(TURNS) + steps(np.angle(z[b] - z[a]) - angle[a])) * np.uint64(TURNS) + steps(angle[b] - angle[a])
-            out.append(_mixed(np.full(len(a), t, np.uint64), parts[own[a], t], parts[own[b], t], place))
-    return np.unique(np.concatenate(out)).view(np.int64)
+        there = np.isfinite(far[i, j])
+        met.append(own[np.c_[i, j][there]])
+    i, j = np.unique(np.sort(np.concatenate(met), 1), axis=0).T[:, :, None]
+    parts, table = bits.view("<u4").reshape(-1, PARTS).astype(np.uint64), np.arange(PARTS)
+    swap = parts[i, table] > parts[j, table]
+    a, b = np.where(swap, j, i), np.where(swap, i, j)
+    gap = place[b] - place[a]
+    steps = lambda turn: (np.floor(turn / (2 * np.pi) * TURNS) % TURNS).astype(np.uint64)
+    where = (np.floor(np.log2(np.abs(gap)) * STEPS).astype(np.uint64) * np.uint64(TURNS) + steps(np.angle(gap) - angle[a])) * np.uint64(TURNS) + steps(angle[b] - angle[a])
+    columns = (np.broadcast_to(table.astype(np.uint64), a.shape), parts[a, table], parts[b, (table + OTHER) % PARTS], where)
+    return np.unique(_mixed(*[c.ravel() for c in columns])).view(np.int64)
 
 
 def _mixed(*columns: np.ndarray) -> np.ndarray:
@@ -211,7 +216,7 @@ def _describe_udf(images: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for image in batch:
             pixels = decode(image)
             spots, bits = describe(pixels)
-            rows.append((None if pixels is None else sha256(repr(pixels.shape).encode() + pixels.tobytes()).digest(), spots.tobytes(), bits.tobytes()))
+            rows.append((None if pixels is None else sha256(repr(pixels.shape).encode() + pixels.tobytes()).digest(), spots.astype(np.float32).tobytes(), bits.tobytes()))
         yield pd.DataFrame(rows, columns=["digest", "spots", "bits"])
 
 
@@ -234,7 +239,7 @@ def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _spots(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, float).reshape(-1, 4)
+    return np.frombuffer(raw, np.float32).reshape(-1, 4).astype(float)
 
 
 def _bits(raw: bytes) -> np.ndarray:
@@ -268,4 +273,4 @@ def image_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "
     classes = materialize(own.join(least, "class").select(F.col("digest").alias("d"), "component"), "media")
     out = told.join(classes, F.col("digest") == F.col("d"), "left")
     known = F.coalesce("component", "image_id")
-    return out.select("image_id", F.when(known != lowest, known).alias("class_id"), (F.octet_length("spots") / 32).cast("long").alias("n_spots"))
+    return out.select("image_id", F.when(known != lowest, known).alias("class_id"), (F.octet_length("spots") / 16).cast("long").alias("n_spots"))
