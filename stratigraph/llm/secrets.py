@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives, in DataFrame and JVM operations only.
 
-Candidates are all runs of 16 or more key characters, a digit among them, of all tokens. Their length, character
+Candidates are all runs of 16 or more key characters of all tokens that hold a digit or are assigned to a name (by =
+or :). Their length, character
 transitions, dictionary coverage, path marks and neighbouring words are numbers computed by SQL functions; a random
 forest trained on labelled findings tells secrets from card numbers, digests, paths, identifiers and placeholders.
 Labelled findings are a table ``(before, token, after, secret)``; where none is given, ``rule_findings`` makes one
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: A candidate's run of characters; words before and after that are looked at.
 RUN, NEAR = r"[A-Za-z0-9_+/=\-]{16,}", 3
+#: A name and the value it is given, the value in a group.
+ASSIGNED = r"^[\"'(]*[A-Za-z_.\-]{2,24}[=:]+[\"']?([A-Za-z0-9_+/=\-]{6,})"
 #: Trees, their depth, seed of the forest, rows of each rule, probability from which a finding is a secret.
 TREES, DEPTH, SEED, ROWS, THRESHOLD = 24, 8, 11, 160, 0.5
 #: Words that make a run readable.
@@ -35,21 +38,30 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     position counts white-space tokens from 0, run_number the runs of a token from 0. A token of several runs is cut:
     each run keeps the marks that quote it, and what lies between it and its neighbours, these included, stands in
-    before and after. The first run keeps all that precedes it in the token, the last all that follows.
+    before and after. The first run keeps all that precedes it in the token, the last all that follows. A candidate
+    carries ``NEAR`` words of either side, never the text.
     """
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\s+", -1).alias("words"))
-    marked = F.filter(F.transform("words", lambda w, at: F.struct(at.cast("long").alias("position"), w.alias("whole"))), lambda x: (F.char_length(x["whole"]) >= 16) & x["whole"].rlike(RUN))
-    runs = words.select("doc_id", "words", F.inline(marked)).withColumns({"runs": F.regexp_extract_all("whole", F.lit(RUN), F.lit(0)), "gaps": F.split("whole", RUN, -1)})
-    rows = runs.select("doc_id", "words", "position", "runs", "gaps", F.posexplode("runs").alias("run_number", "value")).where(F.col("value").rlike("[0-9]"))
-    at, k = F.col("position").cast("int"), F.col("run_number")
+    word = lambda at: F.get("words", at)
+    joined = lambda start, n: F.array_join(F.slice("words", start, n), " ")
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda at: (F.char_length(word(at)) >= 16) & word(at).rlike(RUN))
+    found = F.transform(places, lambda at: F.struct(
+        at.cast("long").alias("position"),
+        word(at).alias("whole"),
+        F.when(at > 0, joined(F.greatest(at - NEAR, F.lit(0)) + 1, F.least(at, F.lit(NEAR)))).otherwise("").alias("words_before"),
+        joined(at + 2, F.lit(NEAR)).alias("words_after"),
+    ))
+    runs = words.select("doc_id", F.inline(found)).withColumns({"runs": F.regexp_extract_all("whole", F.lit(RUN), F.lit(0)), "gaps": F.split("whole", RUN, -1)})
+    rows = runs.select("doc_id", "position", "words_before", "words_after", "runs", "gaps", F.posexplode("runs").alias("run_number", "value"))
+    k = F.col("run_number")
     first, last = k == 0, k == F.size("runs") - 1
     left, right = F.get("gaps", k), F.get("gaps", k + 1)
     opening, closing = F.regexp_extract(left, r"[\"'(]*$", 0), F.regexp_extract(right, r"^[\"')]*", 0)
-    around = lambda start, n: F.array_join(F.slice("words", start, n), " ")
-    before = F.when(~first, F.concat(F.get("runs", k - 1), F.substr(left, F.lit(1), F.char_length(left) - F.char_length(opening)))).when(at > 0, around(F.greatest(at - NEAR, F.lit(0)) + 1, F.least(at, F.lit(NEAR)))).otherwise("")
-    after = F.when(~last, F.concat(F.substr(right, F.char_length(closing) + 1), F.get("runs", k + 1))).otherwise(around(at + 2, F.lit(NEAR)))
+    before = F.when(first, F.col("words_before")).otherwise(F.concat(F.get("runs", k - 1), F.substr(left, F.lit(1), F.char_length(left) - F.char_length(opening))))
+    after = F.when(last, F.col("words_after")).otherwise(F.concat(F.substr(right, F.char_length(closing) + 1), F.get("runs", k + 1)))
     token = F.concat(F.when(first, left).otherwise(opening), "value", F.when(last, right).otherwise(closing))
-    return rows.select("doc_id", "position", F.col("run_number").cast("long").alias("run_number"), before.alias("before"), token.alias("token"), after.alias("after"))
+    rows = rows.select("doc_id", "position", F.col("run_number").cast("long").alias("run_number"), before.alias("before"), token.alias("token"), after.alias("after"), "value")
+    return rows.where(F.col("value").rlike("[0-9]") | F.col("before").rlike(r"[=:]\s*$") | F.col("token").rlike(ASSIGNED)).drop("value")
 
 
 def _share(run: Column, pattern: str) -> Column:
@@ -59,7 +71,7 @@ def _share(run: Column, pattern: str) -> Column:
 def featured(rows: DataFrame) -> DataFrame:
     """``rows`` with the candidate's value as ``run`` and one column per feature."""
     parts = F.regexp_extract("token", RUN, 0)
-    assigned = F.regexp_extract("token", r"^[\"'(]*[A-Za-z_.\-]{2,24}[=:]+[\"']?([A-Za-z0-9_+/=\-]{12,})", 1)
+    assigned = F.regexp_extract("token", ASSIGNED, 1)
     rows = rows.withColumn("run", F.when((assigned != "") & F.endswith(parts, assigned), assigned).otherwise(parts))
     run, low = F.col("run"), F.lower("run")
     left = F.regexp_replace(low, "(" + "|".join(DICTIONARY.split()) + ")", "")
@@ -100,6 +112,8 @@ def rule_findings(spark: SparkSession, rows: int = ROWS) -> DataFrame:
     caps = "substr(upper(translate(base64(unhex(sha2(concat('c-', id, '-', kind), 256))), '+/=', '2Q7')), 3, 16)"
     digits = "lpad(cast(pmod(xxhash64(id, kind), 10000000000000000) as string), 16, '4')"
     word = "element_at(split('alpha river stone the of report and with module under image value', ' '), cast(pmod(xxhash64(id, 'w'), 12) + 1 as int))"
+    mixed = "initcap(substr(translate(lower(base64(unhex(sha2(concat('m-', id, '-', kind), 256)))), '+/=0123456789', ''), 1, 9))"
+    mixed_too = "initcap(substr(translate(lower(base64(unhex(sha2(concat('n-', id, '-', kind), 256)))), '+/=0123456789', ''), 1, 9))"
     kinds = [
         ("", f"concat('AKIA', {caps})", "", 1),
         ("aws key =", f"concat('\"AKIA', {caps}, '\"')", "", 1),
@@ -111,6 +125,9 @@ def rule_findings(spark: SparkSession, rows: int = ROWS) -> DataFrame:
         ("", f"concat('secret_key=', {base})", "", 1),
         ("", f"concat('ghp_', substr({base}, 1, 36))", "", 1),
         ("Authorization: Bearer", base, "", 1),
+        ("", f"concat('password=', substr({base}, 1, 11))", "", 1),
+        ("password =", f"concat({mixed}, {mixed_too})", "", 1),
+        ("db_password:", f"concat('\"', {mixed}, {mixed_too}, '\"')", "", 1),
         ("", digits, "", 0),
         ("card", digits, "", 0),
         ("number", f"concat(substr({digits}, 1, 8), '-', substr({digits}, 3, 10))", "", 0),
@@ -120,6 +137,8 @@ def rule_findings(spark: SparkSession, rows: int = ROWS) -> DataFrame:
         ("uuid", f"concat_ws('-', {hexed(8)}, substr({hexed(9)}, 1, 4), substr({hexed(10)}, 1, 4), substr({hexed(11)}, 1, 4), {hexed(12)})", "", 0),
         ("see", f"concat('/images/', {word}, '/archive/', pmod(id, 2030), '/section-', pmod(id, 97), '/index.html')", "", 0),
         ("", f"concat('https://www.', {word}, '.example.com/article/', pmod(id * 7919, 1000003), '?page=2')", "", 0),
+        ("title:", f"concat({word}, '-', {word}, '-and-the-', {word}, '-page')", "", 0),
+        ("see:", f"concat('class=', {word}, '-section-', {word}, '-list')", "", 0),
         ("file", f"concat({word}, '_default_config_version_', pmod(id, 31), '.json')", "", 0),
         ("password =", "concat('\"xxxxxxxxxxxx', lpad(pmod(id, 10000), 4, '0'), '\"')", "", 0),
         ("example key", "concat('AKIAEXAMPLE', lpad(pmod(id, 1000000000), 9, '0'))", "", 0),
