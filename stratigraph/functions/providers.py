@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratigraph.operators.sequences import composition, truncate
+from stratigraph.operators.sequences import composition
 
 #: (rows with id and sequence) -> (id, layer, x, error)
 Provider = Callable[[DataFrame], DataFrame]
@@ -26,8 +26,8 @@ def provider(name: str) -> Callable[[Provider], Provider]:
 
 @provider("composition")
 def by_composition(rows: DataFrame) -> DataFrame:
-    """Shares of the 21 residues of at most 1022 symbols as layer 0; no model is needed."""
-    return rows.select("id", F.lit(0).alias("layer"), composition(truncate("sequence")).alias("x"), F.lit(None).cast("string").alias("error"))
+    """Shares of the 21 residues of the whole sequence as layer 0; no model is needed."""
+    return rows.select("id", F.lit(0).alias("layer"), composition("sequence").alias("x"), F.lit(None).cast("string").alias("error"))
 
 
 def pooled(embed: Callable[[list[str]], list[list[list[list[float]]]]], batch_residues: int = 4096) -> Provider:

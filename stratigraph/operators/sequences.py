@@ -48,12 +48,19 @@ def truncate(s: str | Column, n: int = 1022) -> Column:
 
 
 def composition(s: str | Column) -> Column:
-    """Share of each residue in fixed order; all unknown symbols count as X; an empty string gives NaN."""
-    n = F.char_length(s)
-    share = lambda c: (n - F.char_length(F.replace(s, F.lit(c), F.lit("")))) / n
-    known = F.array(*[share(c) for c in RESIDUES[:-1]])
-    rest = F.char_length(F.regexp_replace(s, f"[{RESIDUES[:-1]}]", "")) / n
-    return F.when(n == 0, F.transform(F.sequence(F.lit(1), F.lit(len(RESIDUES))), lambda _: F.lit(float("nan")))).otherwise(F.concat(known, F.array(rest)))
+    """Share of each residue in fixed order; all unknown symbols count as X; an empty string gives NaN.
+
+    The text is bound once; residues are single bytes, so each is counted by the bytes that removing it saves.
+    """
+    text = F.col(s) if isinstance(s, str) else s
+
+    def shares(x: Column) -> Column:
+        n = x["n"]
+        held = F.transform(F.array(*[F.lit(c) for c in RESIDUES[:-1]]), lambda c: F.octet_length(x["t"]) - F.octet_length(F.replace(x["t"], c, F.lit(""))))
+        counts = F.transform(F.array(held), lambda h: F.array_append(h, n - F.aggregate(h, F.lit(0), lambda a, v: a + v)))
+        return F.transform(F.get(counts, F.lit(0)), lambda c: F.when(n == 0, F.lit(float("nan"))).otherwise(c / F.greatest(n, F.lit(1))))
+
+    return F.get(F.transform(F.array(F.struct(text.alias("t"), F.char_length(text).alias("n"))), shares), F.lit(0))
 
 
 def header_labels(header: str | Column) -> tuple[Column, Column]:
@@ -97,16 +104,31 @@ def shuffled(s: str | Column, p: float = 0.8, seed: int = 0) -> Column:
     return F.pandas_udf(swap, T.StringType())(s)
 
 
+#: Columns of an alignment that are grouped as one piece of text.
+CHUNK = 64
+
+
 def consensus(df: DataFrame, family: str, rec: str, seq: str, ignore_gaps: bool = True) -> DataFrame:
     """(family, consensus): the commonest symbol of each column; ties go to the one of the earliest record.
 
     Gaps count only if a column has nothing else, or always with ``ignore_gaps`` off. Families whose sequences differ
     in length raise an error; an empty table gives an empty result.
+
+    Sequences are cut into pieces of ``CHUNK`` columns, and equal pieces are counted before the exchange. Only pieces of
+    which a family has more than one are taken apart into symbols.
     """
-    ragged = df.groupBy(family).agg(F.countDistinct(F.char_length(seq)).alias("n"))
-    checked = df.join(ragged, family).where(F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("unequal lengths in "), F.col(family).cast("string"))).cast("boolean")).otherwise(True))
-    cells = checked.select(family, rec, F.posexplode(F.split(seq, "")).alias("pos", "ch"))
-    counts = cells.groupBy(family, "pos", "ch").agg(F.count(F.lit(1)).alias("n"), F.min(rec).alias("first"))
+    size = F.char_length(seq)
+    sizes = df.groupBy(family).agg(F.min(size).alias("least"), F.max(size).alias("most"))
+    cut = F.when(size > 0, F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).otherwise(F.array(F.lit("")))
+    pieces = df.where(F.col(seq).isNotNull()).select(family, rec, F.posexplode(cut).alias("block", "piece"))
+    counted = pieces.groupBy(family, "block", "piece").agg(F.count(F.lit(1)).alias("n"), F.min(rec).alias("first"))
+    met = counted.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy(family, "block")))
+    alike = met.where("kinds = 1").select(family, "block", F.col("piece").alias("best"))
+    cells = met.where("kinds > 1").select(family, "block", "n", "first", F.posexplode(F.split("piece", "")).alias("pos", "ch"))
+    counts = cells.groupBy(family, "block", "pos", "ch").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     gap = (F.col("ch") == "-").cast("int") if ignore_gaps else F.lit(0)
-    best = counts.withColumn("r", F.row_number().over(Window.partitionBy(family, "pos").orderBy(gap, F.desc("n"), "first"))).where("r = 1")
-    return best.groupBy(family).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ch"))), lambda c: c["ch"]), "").alias("consensus"))
+    best = counts.groupBy(family, "block", "pos").agg(F.min_by("ch", F.struct(gap, -F.col("n"), "first")).alias("ch"))
+    voted = best.groupBy(family, "block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ch"))), lambda c: c["ch"]), "").alias("best"))
+    joined = alike.union(voted).groupBy(family).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "best"))), lambda c: c["best"]), "").alias("consensus"))
+    even = F.when(F.col("least") != F.col("most"), F.raise_error(F.concat(F.lit("unequal lengths in "), F.col(family).cast("string"))).cast("boolean")).otherwise(True)
+    return joined.join(sizes.where(even).select(family), family)

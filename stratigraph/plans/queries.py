@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stratigraph.functions.providers import embed
 from stratigraph.functions.vector import norm
-from stratigraph.operators import distances, evaluation, graph, leiden, levels, merge, sequences, trees, vectors
+from stratigraph.operators import baselines, distances, evaluation, graph, leiden, levels, merge, sequences, trees, vectors
 from stratigraph.operators.neighbors import adaptive_k, cell_neighbors, top_neighbors
 from stratigraph.plans import experiments, multiscale
 from stratigraph.sources import fasta
@@ -511,18 +511,20 @@ def consensus_by_column(spark: SparkSession, d: str) -> DataFrame:
     return sequences.consensus(rows, "family", "doc_id", "s").select("family", F.sha2("consensus", 256).alias("consensus"))
 
 
-HEADERS = "h AS (SELECT doc_id, '>' || ' sp' || doc_id % 3 || '|a|b|c|' || lang || ' tail' AS header FROM documents)"
-
-
 @query(
     "load_proteins",
-    "WITH " + HEADERS + " SELECT h.doc_id AS id, trim(ltrim(split_part(header, '|', 1), '>')) AS species, split_part(header, '|', 5) AS true_label, CAST(quality AS BIGINT) AS quality FROM h JOIN labels USING (doc_id)",
+    "SELECT l.doc_id AS id, 'sp' || l.doc_id % 3 || '|a|b|c|' || lang || '|d' || l.doc_id || ' tail' AS header, 'sp' || l.doc_id % 3 AS species, lang AS true_label, round(2 * CAST(embedding[1] AS DOUBLE), 6) AS x_first "
+    "FROM documents d JOIN labels l USING (doc_id) JOIN embeddings e ON e.vec_id = l.doc_id",
 )
 def load_proteins(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(F.lit("> sp"), (F.col("doc_id") % 3).cast("string"), F.lit("|a|b|c|"), "lang", F.lit(" tail")).alias("header"))
-    named = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id"), F.col("quality").cast("long").alias("quality"))
-    species, truth = sequences.header_labels("header")
-    return docs.join(named, "doc_id").select(F.col("doc_id").alias("id"), species.alias("species"), truth.alias("true_label"), "quality")
+    """Records of ``documents`` by header, an index map made of ``labels``, embeddings of two layers, the second double."""
+    label = F.concat(F.lit("sp"), (F.col("doc_id") % 3).cast("string"), F.lit("|a|b|c|"), "lang", F.lit("|d"), F.col("doc_id").cast("string"))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    records = docs.select(F.concat(label, F.lit(" tail")).alias("header"), F.lit("ACD").alias("sequence"))
+    index = docs.join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id"), "doc_id").select(label.alias("label"), F.col("doc_id").alias("idx"))
+    layers = emb(spark, d).select(F.col("id").alias("idx"), F.array("x", F.transform("x", lambda v: 2 * v)).alias("layers"))
+    got = fasta.load_proteins(records, index, layers, 1)
+    return got.select("id", "header", "species", "true_label", r6(F.get("x", F.lit(0))).alias("x_first"))
 
 
 @query("resume_anti_join", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
@@ -536,11 +538,16 @@ def reference_index(spark: SparkSession, d: str) -> DataFrame:
     return fasta.reference_index(rows, "name", ["lang"]).withColumn("idx", F.col("idx").cast("long"))
 
 
-@query("composition_provider", "SELECT count(*) AS n, CAST(min(length(regexp_replace(text, '[^A-Za-z.*-]', '', 'g'))) >= 0 AS BOOLEAN) AS ok FROM documents")
+@query(
+    "composition_provider",
+    "WITH " + SEQ + ", u AS (SELECT doc_id, upper(s) AS s FROM q) SELECT doc_id, 0 AS layer, CASE WHEN s <> '' THEN round((length(s) - length(replace(s, 'A', ''))) / length(s), 6) END AS share_a, "
+    "CASE WHEN s <> '' THEN round((length(s) - length(replace(s, 'Y', ''))) / length(s), 6) END AS share_y, CASE WHEN s <> '' THEN round(length(regexp_replace(s, '[ACDEFGHIKLMNPQRSTVWY]', '', 'g')) / length(s), 6) END AS share_x FROM u",
+)
 def composition_provider(spark: SparkSession, d: str) -> DataFrame:
+    """Whole sequences through the provider: shares of the first, last and of unknown residues."""
     got = embed(seqs(spark, d).select(F.col("doc_id").alias("id"), F.upper("s").alias("sequence")), "composition")
-    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
-    return got.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.isnan(total) | (F.abs(total - 1) < 1e-9)).alias("ok"))
+    share = lambda at: F.when(~F.isnan(F.get("x", F.lit(at))), r6(F.get("x", F.lit(at))))
+    return got.select(F.col("id").alias("doc_id"), "layer", share(0).alias("share_a"), share(19).alias("share_y"), share(20).alias("share_x"))
 
 
 INDEX = "ix AS (SELECT id, label, v, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS idx FROM e)"
@@ -706,6 +713,12 @@ def hdbscan_baseline(spark: SparkSession, d: str) -> DataFrame:
     return experiments.baselines(units(spark, d), judged(spark, d).select("id", "true"), threshold=0.7)
 
 
+@query("agglomerative_baseline")
+def agglomerative_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """Average linkage over the neighbour graph up to a cosine distance of 0.7."""
+    return baselines.agglomerative(units(spark, d).select("id", "x"), 0.7, "average", 10)
+
+
 @query("simple_leiden")
 def simple_leiden(spark: SparkSession, d: str) -> DataFrame:
     return experiments.simple_leiden(units(spark, d))

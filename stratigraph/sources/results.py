@@ -27,8 +27,8 @@ def save_results(levels: DataFrame, path: str) -> None:
 
 
 def save_csv(df: DataFrame, path: str) -> None:
-    """A result table with a header line and no index column."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A result table as parts with a header line each and no index column."""
+    df.write.mode("overwrite").csv(path, header=True)
 
 
 def save_report(metrics: DataFrame, path: str) -> None:
