@@ -8,8 +8,8 @@ three in one of those halves, so every pair that can reach the minimum count mee
 shared positional bytes are tallied, pairs below five are dropped and the rest are verified on the differing bits.
 
 Skew: equal fingerprints are collapsed before indexing, so exact copies cost one posting. A posting list of more
-than ``BLOCK`` different fingerprints is dealt into blocks and every two blocks meet in a group of their own, so no
-task holds more than two blocks. From each group only a spanning forest of its links is returned (fewer rows than
+than ``BLOCK`` different fingerprints is split by two more positional bytes; what is still longer is dealt into blocks and
+every two blocks meet in a group of their own, so no task holds more than two blocks. From each group only a spanning forest of its links is returned (fewer rows than
 it has fingerprints), which keeps every component exactly without writing out the pairs.
 """
 
@@ -126,12 +126,21 @@ def _links_of(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _postings(prints: DataFrame) -> DataFrame:
-    """(key, block_a, block_b, print, rep): each fingerprint under its eight triples of positional bytes."""
+    """(key, block_a, block_b, print, rep): each fingerprint under its eight triples of positional bytes.
+
+    Linked members of a triple's list share two more positional bytes at least, so a list of more than ``BLOCK`` is split
+    by each two of the other five. Blocks remain for what is still longer: fingerprints that differ in three bytes only.
+    """
     byte = lambda p: F.shiftright("print", 8 * p).bitwiseAND(F.lit(255))
-    keys = [F.lit(t << 24).cast("long") + byte(a) * 65536 + byte(b) * 256 + byte(c) for t, (a, b, c) in enumerate(TRIPLES)]
-    single = prints.select("print", "rep", F.explode(F.array(*keys)).alias("key"))
-    counts = single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    posted = single.join(counts, "key")
+    listed = lambda rows: rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    triple = lambda t, at: F.struct(F.lit(t).alias("t"), (F.lit(t << 24).cast("long") + byte(at[0]) * 65536 + byte(at[1]) * 256 + byte(at[2])).alias("key"))
+    single = listed(prints.select("print", "rep", F.inline(F.array(*[triple(t, at) for t, at in enumerate(TRIPLES)]))))
+    further = None
+    for t, at in enumerate(TRIPLES):
+        own = F.array(*[F.xxhash64(F.lit(p), F.lit(q), "key", byte(p), byte(q)) for p, q in combinations([p for p in range(8) if p not in at], 2)])
+        further = F.when(F.col("t") == t, own) if further is None else further.when(F.col("t") == t, own)
+    split = listed(single.where(F.col("n") > BLOCK).select("print", "rep", F.explode(further).alias("key")))
+    posted = single.where(F.col("n") <= BLOCK).select("key", "print", "rep", "n").union(split.select("key", "print", "rep", "n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("print"), blocks).cast("int")
     meet = F.when(F.col("n") <= BLOCK, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(
