@@ -100,6 +100,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     # the place of a seed in the concatenation gives back its mask and position
     place = lambda own: _place(F.col("slot"), F.size(own), masks)
     seeds = spread(coded, "item_hashes").withColumn("start", place("item_hashes")).where("seed IS NOT NULL")
+    # an item has seeds of its own masks only, so what is found of it does not depend on the other items
+    n, mask = F.size("item_hashes"), _place(F.col("slot"), F.size("item_hashes"), masks, number=True)
+    wide = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), mask + 1)
+    seeds = seeds.where(F.when(n >= WINDOW, mask < len(MASKS)).otherwise(wide == n))
     seeds = materialize(seeds.select("seed", "item_id", "start", F.size("item_hashes").alias("item_size"), _around(F.col("item_hashes"), F.col("start")).alias("item_near")), "seeds")
     wanted = materialize(seeds.select("seed").distinct(), "seeds")
     if wanted.count() <= BROADCAST_ROWS:
@@ -120,13 +124,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     )
 
 
-def _place(slot: Column, n: Column, masks: list[str]) -> Column:
-    """Token position of a slot in the concatenated seed arrays of a text of ``n`` tokens."""
+def _place(slot: Column, n: Column, masks: list[str], number: bool = False) -> Column:
+    """Token position of a slot in the concatenated seed arrays of a text of ``n`` tokens, or the mask's number."""
     out, before = None, F.lit(0)
-    for mask in masks:
+    for k, mask in enumerate(masks):
         size = F.greatest(n - len(mask) + 1, F.lit(0))
-        inside = (slot >= before) & (slot < before + size)
-        out = F.when(inside, slot - before) if out is None else out.when(inside, slot - before)
+        inside, told = (slot >= before) & (slot < before + size), F.lit(k) if number else slot - before
+        out = F.when(inside, told) if out is None else out.when(inside, told)
         before = before + size
     return out
 
