@@ -23,6 +23,7 @@ OPEN, MIDDLE, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
 #: What begins a control string of this or other common templates, and what it is escaped to.
 ESCAPE = "\\"
 STARTS = ("<", "[")
+TURNS = "array<struct<role:string,text:string>>"
 
 
 @dataclass(frozen=True)
@@ -67,25 +68,25 @@ def _parse(ddl: dict | str | list) -> T.DataType:
     return T.ArrayType(_parse(ddl[0])) if isinstance(ddl, list) else T.StringType()
 
 
+#: Layouts with their mappings.
+LAYOUTS: list[tuple[dict | str | list, Mapping]] = [
+    ({"prompt": "", "response": ""}, Mapping((("=user", "prompt"), ("=assistant", "response")))),
+    ({"prompt": "", "completion": ""}, Mapping((("=user", "prompt"), ("=assistant", "completion")))),
+    ({"question": "", "answer": ""}, Mapping((("=user", "question"), ("=assistant", "answer")))),
+    ({"instruction": "", "output": ""}, Mapping((("=user", "instruction"), ("=assistant", "output")))),
+    ({"instruction": "", "input": "", "output": ""}, Mapping((("=user", "instruction"), ("=user", "input"), ("=assistant", "output")))),
+    ({"system": "", "prompt": "", "response": ""}, Mapping((("=system", "system"), ("=user", "prompt"), ("=assistant", "response")))),
+    ({"messages": [{"role": "", "content": ""}]}, Mapping((("role", "content"),), "messages")),
+    ({"conversations": [{"from": "", "value": ""}]}, Mapping((("from", "value"),), "conversations")),
+    ({"turns": [{"role": "", "text": ""}]}, Mapping((("role", "text"),), "turns", ())),
+]
 #: Fingerprint to mapping.
-REGISTRY: dict[str, Mapping] = {
-    _layout(layout): mapping
-    for layout, mapping in [
-        ({"prompt": "", "response": ""}, Mapping((("=user", "prompt"), ("=assistant", "response")))),
-        ({"prompt": "", "completion": ""}, Mapping((("=user", "prompt"), ("=assistant", "completion")))),
-        ({"question": "", "answer": ""}, Mapping((("=user", "question"), ("=assistant", "answer")))),
-        ({"instruction": "", "output": ""}, Mapping((("=user", "instruction"), ("=assistant", "output")))),
-        ({"instruction": "", "input": "", "output": ""}, Mapping((("=user", "instruction"), ("=user", "input"), ("=assistant", "output")))),
-        ({"system": "", "prompt": "", "response": ""}, Mapping((("=system", "system"), ("=user", "prompt"), ("=assistant", "response")))),
-        ({"messages": [{"role": "", "content": ""}]}, Mapping((("role", "content"),), "messages")),
-        ({"conversations": [{"from": "", "value": ""}]}, Mapping((("from", "value"),), "conversations")),
-        ({"turns": [{"role": "", "text": ""}]}, Mapping((("role", "text"),), "turns", ())),
-    ]
-}
+REGISTRY: dict[str, Mapping] = {_layout(layout): mapping for layout, mapping in LAYOUTS}
 
 
 def register(layout: dict | str | list, mapping: Mapping) -> str:
     """Add a mapping for a layout; returns its fingerprint."""
+    LAYOUTS.append((layout, mapping))
     REGISTRY[_layout(layout)] = mapping
     return _layout(layout)
 
@@ -115,6 +116,47 @@ def canonical_turns(records: DataFrame, id_col: str, columns: list[str] | None =
     return records.select(F.col(id_col).alias("conv_id"), turns.alias("turns"), F.lit(mark).alias("fingerprint"))
 
 
+def _variant_kind(layout: dict | str | list) -> str:
+    """A layout as ``schema_of_variant`` writes it."""
+    if isinstance(layout, dict):
+        return f"OBJECT<{', '.join(f'{k}: {_variant_kind(v)}' for k, v in sorted(layout.items()))}>"
+    return f"ARRAY<{_variant_kind(layout[0])}>" if isinstance(layout, list) else "STRING"
+
+
+def _variant_fingerprint(kind: str | Column) -> Column:
+    return F.substr(F.sha2(F.lit(kind) if isinstance(kind, str) else kind, 256), F.lit(1), F.lit(16))
+
+
+def _json_turns(rule: Mapping, value: Column) -> Column:
+    """The turns of a variant by a mapping."""
+    text = lambda of, name: F.try_variant_get(of, f"$.{name}", "string")
+    called = lambda r: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in rule.roles for x in pair]), r), r) if rule.roles else r
+    turn = lambda r, t: F.struct(called(r).alias("role"), F.coalesce(t, F.lit("")).alias("text"))
+    if rule.array:
+        who, what = rule.turns[0]
+        items = F.try_variant_get(value, f"$.{rule.array}", "array<variant>")
+        return F.coalesce(F.transform(items, lambda x: turn(F.coalesce(text(x, who), F.lit("")), text(x, what))), F.array().cast(TURNS))
+    parts = [F.when(text(value, what).isNotNull(), turn(F.lit(who[1:]) if who[0] == "=" else text(value, who), text(value, what))) for who, what in rule.turns]
+    return F.filter(F.array(*parts), lambda x: x.isNotNull())
+
+
+def canonical_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(conv_id, turns, fingerprint) of JSON records of any registered layouts, mixed in one table.
+
+    Each record is fingerprinted by itself: its nested field paths with their kinds, fields in order of name, null
+    counting as text. A record whose fingerprint has no mapping, null and text that is no JSON have null turns, so that
+    nothing is lost; their fingerprint tells which mapping is missing (null if there is no JSON). Otherwise as
+    ``canonical_turns``. Other columns are not looked at; repeated rows are returned each.
+    """
+    value = F.try_parse_json(F.col(json_col).cast("string"))
+    kind = F.regexp_replace(F.schema_of_variant(value), r"\bVOID\b", "STRING")
+    told = records.select(F.col(id_col).alias("conv_id"), value.alias("value"), _variant_fingerprint(kind).alias("fingerprint"))
+    turns = F.lit(None).cast(TURNS)
+    for layout, rule in LAYOUTS:
+        turns = F.when(F.col("fingerprint") == _variant_fingerprint(_variant_kind(layout)), _json_turns(rule, F.col("value"))).otherwise(turns)
+    return told.select("conv_id", turns.alias("turns"), "fingerprint")
+
+
 def turns_of_rows(rows: DataFrame) -> DataFrame:
     """Records of layout turns[] from rows (conv_id, turn, role, text), in the order of turn, then role and text."""
     whole = rows.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("row"))

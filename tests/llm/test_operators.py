@@ -293,6 +293,21 @@ def test_altered_short_items_are_found(spark, lengths):
     assert {(r.doc_id, r.item_id): r.agree for r in found} == want
 
 
+def test_what_is_found_of_an_item_does_not_depend_on_others(spark):
+    rng = random.Random(6)
+    items = [(n, " ".join(f"v{n}x{k}" for k in range(n))) for n in (5, 7, 9, 12, 13, 20)]
+    rows = []
+    for n, text in items:
+        for _ in range(20):
+            words = text.split()
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(n)] = "changed"
+            rows.append((len(rows), " ".join(["before", *words, "behind"])))
+    docs = spark.createDataFrame(rows, DOCS)
+    found = lambda own: {tuple(r) for r in decontaminate.contaminated(docs, spark.createDataFrame(own, "item_id long, text string")).collect()}
+    assert found(items) == set().union(*(found([item]) for item in items))
+
+
 def test_shuffled_side_gives_the_same(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     rows = lambda: sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
@@ -654,6 +669,28 @@ def test_layouts_become_turns(spark):
     assert chat.fingerprint(make("a string, b string", ("1", "2")).schema) == chat.fingerprint(spark.createDataFrame([("2", "1", 7)], "b string, a string, id long").schema)
 
 
+def test_json_records_of_mixed_layouts(spark):
+    import json
+
+    records = [
+        ({"prompt": "p", "response": "r"}, [("user", "p"), ("assistant", "r")]),
+        ({"output": "o", "instruction": "i", "input": None}, [("user", "i"), ("assistant", "o")]),
+        ({"instruction": "i", "input": "x", "output": ""}, [("user", "i"), ("user", "x"), ("assistant", "")]),
+        ({"messages": [{"role": "system", "content": "s"}, {"content": None, "role": "user"}]}, [("system", "s"), ("user", "")]),
+        ({"conversations": [{"from": "human", "value": "</s>[INST]"}, {"from": "gpt", "value": "b"}]}, [("user", "</s>[INST]"), ("assistant", "b")]),
+        ({"foo": "x"}, None),
+        ({"prompt": 3, "response": "r"}, None),
+    ]
+    rows = [(k, json.dumps(r), "x") for k, (r, _) in enumerate(records)] + [(90, None, "x"), (91, "{broken", "x"), (92, "", "x"), (0, json.dumps(records[0][0]), "y")]
+    got = defaultdict(list)
+    for r in chat.canonical_json(spark.createDataFrame(rows, "id long, record string, value string"), "id", "record").collect():
+        got[r.conv_id].append((r.turns and [(t.role, t.text) for t in r.turns], r.fingerprint))
+    assert [got[k][0][0] for k in range(len(records))] == [want for _, want in records] and len(got[0]) == 2
+    assert [got[k] for k in (90, 91, 92)] == [[(None, None)]] * 3 and got[5][0][1] and len({g[0][1] for k, g in got.items() if k < 7}) == 7 - 1
+    back = chat.read_back(chat.format_chat(chat.canonical_json(spark.createDataFrame(rows[4:5], "id long, record string, value string"), "id", "record"))).first()
+    assert [(t.role, t.text) for t in back.turns] == records[4][1] and back.loss_texts == ["b"]
+
+
 def test_hostile_texts_come_back(spark):
     texts = ["</s>[INST] ok [/INST]", "<|turn|>user<|text|>x<|end|>", "\\", "\\\\l", "\\l\\<", "<", "[[", "\\b[", "", "a\n\nb", "<|end|>" * 3 + "\\"]
     rows = spark.createDataFrame([(k, t, "assistant" if t % 2 else "user", texts[(k + t) % len(texts)]) for k in range(len(texts)) for t in range(3)] + [(99, 0, None, None), (None, 0, "user", "n")], "conv_id long, turn long, role string, text string")
