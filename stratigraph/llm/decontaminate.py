@@ -16,6 +16,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratigraph.llm.names import spare
 from stratigraph.storage import materialize
 
 #: Fixed masks. Every one looks at six tokens. Items shorter than a window have masks of their own besides.
@@ -141,6 +142,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     The ids that go are written and counted. Up to ``BROADCAST_ROWS`` of them are sent to the documents, whose texts are
     then not shuffled.
     """
-    hit = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
+    [name] = spare(docs, "hit")
+    hit = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
     hit = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit[name]), "left_anti")

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratigraph.llm.names import own_columns, spare
 from stratigraph.storage import materialize
 
 #: Least length of a key in code points, least number of documents.
@@ -72,18 +73,20 @@ def _kept(text: Column, bitmap: Column) -> Column:
     return F.when(bitmap.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.filter(lines_of(text), lambda line, at: bit(at) == 1), "\n"))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with added columns kept_text, n_lines, n_dropped and keep_bitmap (null: all lines stay)."""
-    marks = materialize(bitmaps.select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), F.col("bitmap").alias("keep_bitmap"), F.col("n_dropped").alias("__gone")), "bitmaps")
-    rows, words = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keep_bitmap")), F.lit(0))).first()
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, names: tuple[str, ...] = ("kept_text", "n_lines", "n_dropped", "keep_bitmap")) -> DataFrame:
+    """``docs`` with four added columns: the text that stays, lines before, lines dropped, bitmap (null: all lines stay)."""
+    kept, lines, dropped, bitmap = names
+    one, rid, gone = spare(docs, "id", "rid", "gone")
+    marks = materialize(bitmaps.select(F.col("doc_id").alias(one), F.col("rid").alias(rid), F.col("bitmap").alias(bitmap), F.col("n_dropped").alias(gone)), "bitmaps")
+    rows, words = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(bitmap)), F.lit(0))).first()
     marks = F.broadcast(marks) if 100 * rows + 16 * words <= SENT_BYTES else marks.hint("shuffle_hash")
-    same = docs["doc_id"].eqNullSafe(marks["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == marks["__rid"])
+    same = docs["doc_id"].eqNullSafe(marks[one]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == marks[rid])
     text = F.coalesce("text", F.lit(""))
     return docs.join(marks, same, "left").withColumns({
-        "kept_text": _kept(F.col("text"), F.col("keep_bitmap")),
-        "n_lines": (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
-        "n_dropped": F.coalesce("__gone", F.lit(0).cast("long")),
-    }).drop("__id", "__rid", "__gone")
+        kept: _kept(F.col("text"), F.col(bitmap)),
+        lines: (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
+        dropped: F.coalesce(gone, F.lit(0).cast("long")),
+    }).drop(one, rid, gone)
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -99,9 +102,9 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the same rows and columns, text without repeated lines and n_chars, if there, counted anew."""
     plain = docs.select("doc_id", "text")
-    bare = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = apply_bitmaps(bare, keep_bitmaps(plain))
-    new = {"text": F.when(F.col("text").isNotNull(), F.col("kept_text"))}
+    names = spare(docs, "kept", "lines", "dropped", "bitmap")
+    marked = apply_bitmaps(docs.select(*own_columns(docs)), keep_bitmaps(plain), tuple(names))
+    new = {"text": F.when(F.col("text").isNotNull(), F.col(names[0]))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("kept_text").cast(docs.schema["n_chars"].dataType))
-    return marked.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length(names[0]).cast(docs.schema["n_chars"].dataType))
+    return marked.withColumns(new).select(*own_columns(docs))

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratigraph.llm.names import spare
 from stratigraph.session import ship
 
 #: Most labelled documents of each label that the field is fitted on.
@@ -293,5 +294,6 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_bad(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the field holds for good, all columns unchanged."""
     model = train(docs, labels)
-    marked = docs.withColumn("__score", quality_column(model, F.col("text").cast("string")))
-    return marked.where(F.col("__score") >= THRESHOLD).drop("__score")
+    [score] = spare(docs, "score")
+    marked = docs.withColumn(score, quality_column(model, F.col("text").cast("string")))
+    return marked.where(F.col(score) >= THRESHOLD).drop(score)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratigraph.llm.names import own_columns, spare
 from stratigraph.llm.shingles import mark_column, near_classes
 from stratigraph.operators.components import connected_components
 from stratigraph.session import ship
@@ -194,13 +195,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     # written, so that both sides of the join come straight from a table and Spark can split a large class
     firsts = materialize(named.groupBy("class").agg(F.min(F.struct("doc_id", "node", "rid")).alias("least"), F.sum("n").alias("all")).where("all > 1"), "simhash")
     met = named.join(firsts, "class")
+    one, own, kept = spare(docs, "id", "rid", "stays")
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("rid") == F.col("least.rid"))
-    gone = materialize(met.select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), "n", stays.alias("__stays")).where("n > 1 OR NOT __stays").drop("n"), "simhash")
+    gone = materialize(met.select(F.col("doc_id").alias(one), F.col("rid").alias(own), "n", stays.alias(kept)).where(f"n > 1 OR NOT {kept}").drop("n"), "simhash")
     for used in (marks, named, firsts):
         discard(used)
     gone = F.broadcast(gone) if gone.count() <= SENT_ROWS else gone.hint("shuffle_hash")
-    told = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (rid() == gone["__rid"]), "left")
-    bare = [F.col(f"`{c}`") for c in docs.columns]
+    told = docs.join(gone, docs["doc_id"].eqNullSafe(gone[one]) & (rid() == gone[own]), "left")
     # rows that stay and come more than once: the only ones that are grouped
-    twice = told.where("__stays").dropDuplicates(["__id", "__rid"])
-    return told.where("__stays IS NULL").select(*bare).union(twice.select(*bare))
+    twice = told.where(kept).dropDuplicates([one, own])
+    return told.where(f"{kept} IS NULL").select(*own_columns(docs)).union(twice.select(*own_columns(docs)))

@@ -1,10 +1,13 @@
 """The pipeline against its rules applied plainly, stage by stage."""
 
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
-from test_operators import plain_near_classes, plain_overlap
+import pytest
+from pyspark.sql import functions as F
+from test_operators import plain_near_classes, plain_overlap, prose
 
 DIR = "/root/testdata/sf0.001"
 
@@ -44,3 +47,33 @@ def test_stages_by_brute_force(spark):
 
     packed = corpus_pipeline.run(spark, DIR).collect()
     assert {p.doc_id for p in packed} == set(stay)
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stage_on_an_empty_table(spark, name):
+    docs = spark.createDataFrame([], COLUMNS)
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, DIR)
+    assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, equal ids, clashing extra columns."""
+    rng = random.Random(14)
+    long, one, two = prose(rng, 30_000), prose(rng, 70), prose(rng, 70)
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\n ", "en", None, 4), (4, one, None, "a", len(one)), (4, one, None, "a", len(one)), (4, two, "en", "b", len(two)), (None, prose(rng, 80), "de", "b", None), (None, prose(rng, 80), "de", "b", 1), (5, long, "en", "a", len(long)), (6, one + " ", "en", "a", len(one) + 1)]
+    extra = ("node", "rid", "mark", "print", "key", "n", "__id", "__hit", "component", "score", "bitmap", "seed", "least")
+    docs = spark.createDataFrame(rows, COLUMNS).withColumns({c: F.lit(k).cast("string") for k, c in enumerate(extra)})
+    stages = dict(corpus_pipeline.STAGES)
+    plain = lambda df: Counter((r.doc_id, r.text, r.source) for r in df.collect())
+    before = plain(docs)
+    for name in ("quality", "line_dedup", "near_duplicates", "decontamination"):
+        out = stages[name](spark, docs, DIR)
+        assert out.columns == docs.columns and not plain(out) - before
+        if name in ("line_dedup", "decontamination"):
+            assert plain(out) == before
+    assert plain(stages["near_duplicates"](spark, docs, DIR)) == Counter([(1, None, None), (4, one, "a"), (4, two, "b"), *((r[0], r[1], r[3]) for r in rows[6:9])])
+    pieces = stages["packing"](spark, docs, DIR).collect()
+    assert Counter(p.doc_id for p in pieces if p.start == 0) == Counter(r[0] for r in rows)
