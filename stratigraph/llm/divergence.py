@@ -33,7 +33,7 @@ SCALE, PRIOR = 1_000_000_000, 2
 #: Document ids of one span.
 SPAN = 1 << 20
 #: Bytes of text that a task gathers before it writes postings.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: Rows of a shard of kept terms, and cells (terms by sources) of a block in it.
 SHARD_ROWS, CELLS = 200_000, 2_000_000
 #: Most rows of terms or languages that are sent to all tasks.
@@ -41,7 +41,7 @@ SENT_TERMS = 200_000
 #: Every byte that is no part of a term becomes a blank; A-Z become a-z; bytes of other characters stay.
 _FOLD = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-POSTINGS = "lang string, term string, span long, source string, first long, docs binary, n long"
+POSTINGS = "lang string, term string, source string, first long, more binary, n int"
 RUNS = "lang string, term string, source string, df long, n long"
 FOUND = "lang string, source string, part string, item string, value long"
 
@@ -77,14 +77,15 @@ def _postings(texts: list[bytes], docs: np.ndarray, groups: list[tuple[str, str]
     key, count = np.unique(key, return_counts=True)
     run, where = np.divmod(key, len(texts))
     doc = docs[at][where]
-    head = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    first = doc[head]
-    inner = (doc - np.repeat(first, np.diff(np.r_[head, len(doc)]))).astype("<i4")
+    heads = np.r_[True, run[1:] != run[:-1]]
+    head = np.flatnonzero(heads)
+    first, size = doc[head], np.diff(np.r_[head, len(doc)])
+    more = (doc - np.repeat(first, size))[~heads].astype("<i4")  # documents behind the first
     code, text_at = run[head] % len(words.dictionary), at[where[head]]
     lang, source = (pa.array([g[c] for g in numbers], pa.string()).take(pa.array(group[text_at])) for c in (0, 1))
     return pa.RecordBatch.from_arrays(
-        [lang, words.dictionary.take(pa.array(code)), pa.array(span[text_at]), source, pa.array(first), _binary(4 * np.r_[head, len(doc)], inner.view(np.uint8), pa.binary()), pa.array(np.add.reduceat(count, head).astype(np.int64))],
-        names=["lang", "term", "span", "source", "first", "docs", "n"],
+        [lang, words.dictionary.take(pa.array(code)), source, pa.array(first), _binary(4 * np.r_[0, np.cumsum(size - 1)], more.view(np.uint8), pa.binary()), pa.array(np.add.reduceat(count, head).astype(np.int32))],
+        names=["lang", "term", "source", "first", "more", "n"],
     )
 
 
@@ -137,16 +138,17 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> It
 
 def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, term, source, df, n) of every run of one source in sorted postings."""
-    for rows, starts in _whole_runs(batches, ("lang", "term", "span", "source")):
+    spanned = (b.append_column("span", pa.array(b.column("first").to_numpy() // SPAN)) for b in batches)
+    for rows, starts in _whole_runs(spanned, ("lang", "term", "source", "span")):
         size = np.diff(np.r_[starts, rows.num_rows])
-        inner = [np.frombuffer(x, "<i4") for x in rows.column("docs").to_pylist()]
-        lengths = np.fromiter(map(len, inner), np.int64, len(inner))
-        doc = np.concatenate(inner) + np.repeat(rows.column("first").to_numpy() % SPAN, lengths)
-        run = np.repeat(np.repeat(np.arange(len(starts)), size), lengths)
+        first, lengths = rows.column("first").to_numpy() % SPAN, pa.compute.binary_length(rows.column("more")).to_numpy() // 4
+        more = np.frombuffer(b"".join(rows.column("more").to_pylist()), "<i4")
+        of = np.repeat(np.arange(len(starts)), size)
+        doc, run = np.r_[first, more + np.repeat(first, lengths)], np.r_[of, np.repeat(of, lengths)]
         df = np.bincount(np.unique(run * SPAN + doc) // SPAN, minlength=len(starts))  # a document counts once
         at = pa.array(starts)
         yield pa.RecordBatch.from_arrays(
-            [rows.column("lang").take(at), rows.column("term").take(at), rows.column("source").take(at), pa.array(df.astype(np.int64)), pa.array(np.add.reduceat(rows.column("n").to_numpy(), starts))],
+            [rows.column("lang").take(at), rows.column("term").take(at), rows.column("source").take(at), pa.array(df.astype(np.int64)), pa.array(np.add.reduceat(rows.column("n").to_numpy().astype(np.int64), starts))],
             names=["lang", "term", "source", "df", "n"],
         )
 
@@ -232,8 +234,8 @@ def _sent(df: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term, source, n) of the terms in at least ``min_docs`` documents of a language; ``docs`` has no nulls."""
     ship(docs.sparkSession)
-    postings = docs.mapInArrow(_posted, POSTINGS).repartition("lang", "term", "span")
-    runs = materialize(postings.sortWithinPartitions("lang", "term", "span", "source", "first").mapInArrow(_run_lengths, RUNS), "runs")
+    postings = docs.mapInArrow(_posted, POSTINGS).repartition("lang", "term", F.floor(F.col("first") / SPAN))
+    runs = materialize(postings.sortWithinPartitions("lang", "term", "source", "first").mapInArrow(_run_lengths, RUNS), "runs")
     kept = materialize(runs.groupBy("lang", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= min_docs).select("lang", "term"), "runs")
     counts = runs.join(_sent(kept), ["lang", "term"])
     counts = materialize(counts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")), "runs")
