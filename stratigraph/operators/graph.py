@@ -60,8 +60,8 @@ def symmetric(edges: DataFrame) -> DataFrame:
 def snn_pairs(nbr: DataFrame, snn_k: int | None = None) -> DataFrame:
     """(u, v, w) of mutual neighbours u < v with the Jaccard weight of their neighbour sets, cut to ``snn_k`` if given.
 
-    Common neighbours are counted by a join on the neighbour, restricted to mutual pairs first, so the rows grow with
-    pairs times k and no set travels.
+    Only mutual pairs are formed; the neighbour sets of both ends, of k ids at most, are joined to each and intersected,
+    so what is shuffled grows with pairs times k.
     """
     near = (nbr.where(F.col("rank") <= snn_k) if snn_k else nbr).select("i", "j")
     sizes = near.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.collect_set("j").alias("set"))

@@ -683,6 +683,40 @@ def leiden_grid(spark: SparkSession, d: str) -> DataFrame:
     return levels.relabel_contiguous(part, ["level"]).join(found.select("level", "resolution"), "level")
 
 
+INVARIANT = """WITH r AS (SELECT unnest([{0}]) AS resolution)
+    SELECT CAST(resolution AS DOUBLE) AS resolution, (SELECT count(*) FROM embeddings) AS n_items, true AS above_singletons, true AS inside_components, true AS least_names FROM r"""
+
+
+def _invariants(nodes: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
+    """For each resolution of ``found (resolution, id, cluster)``: items, whether its CPM quality is at least that of single
+    nodes (0), whether clusters lie inside components, and whether each has the name of its least member."""
+    parts = graph.node_components(nodes, edges)
+    by = found.join(parts, "id").groupBy("resolution", "cluster").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("component").alias("parts"), F.min("id").alias("least"))
+    a, b = found.select("resolution", F.col("id").alias("u"), F.col("cluster").alias("a")), found.select("resolution", F.col("id").alias("v"), F.col("cluster").alias("b"))
+    inside = edges.join(a, "u").join(b, ["resolution", "v"]).where("a = b").groupBy("resolution").agg(F.sum("w").alias("inside"))
+    shape = by.groupBy("resolution").agg(
+        F.sum("n").alias("n_items"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), (F.max("parts") == 1).alias("inside_components"), F.min(F.col("least") == F.col("cluster")).alias("least_names")
+    )
+    good = F.coalesce("inside", F.lit(0.0)) - F.col("resolution") * F.col("pairs") >= -1e-6
+    return shape.join(inside, "resolution", "left").select("resolution", "n_items", good.alias("above_singletons"), "inside_components", "least_names")
+
+
+@query("leiden_rounds", INVARIANT.format("0.3, 0.6"))
+def leiden_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Communities found in rounds, without a task that holds a component, and what must hold of them."""
+    edges, nodes = materialize(graph.union_graph(near(spark, d)[0]), "edges"), emb(spark, d).select("id")
+    numbered = spark.createDataFrame([(0, 0.3), (1, 0.6)], "run long, gamma double")
+    found = leiden.leiden_rounds(edges, nodes.withColumn("mass", F.lit(1.0)).crossJoin(F.broadcast(numbered)), iterations=1)  # two runs
+    return _invariants(nodes, edges, materialize(found.join(F.broadcast(numbered), "run").select(F.col("gamma").alias("resolution"), "id", "cluster"), "found"))
+
+
+@query("leiden_grid_invariants", INVARIANT.format(", ".join(map(str, leiden.GRID))))
+def leiden_grid_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """The default grid and what must hold of every partition in it."""
+    edges, nodes = materialize(graph.forward_graph(near(spark, d)[0]), "edges"), emb(spark, d).select("id")
+    return _invariants(nodes, edges, materialize(leiden.run_leiden(nodes, edges).drop("seed"), "found"))
+
+
 @query("resolution_profile")
 def resolution_profile(spark: SparkSession, d: str) -> DataFrame:
     edges = materialize(graph.forward_graph(near(spark, d)[0]), "edges")
