@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stratigraph.functions.providers import embed
 from stratigraph.functions.vector import norm
-from stratigraph.operators import baselines, distances, evaluation, graph, leiden, levels, merge, sequences, trees, vectors
+from stratigraph.operators import baselines, density, distances, evaluation, graph, leiden, levels, merge, sequences, trees, vectors
 from stratigraph.operators.neighbors import adaptive_k, cell_neighbors, top_neighbors
 from stratigraph.plans import experiments, multiscale
 from stratigraph.sources import fasta
@@ -706,7 +706,7 @@ def leiden_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Communities found in rounds, without a task that holds a component, and what must hold of them."""
     edges, nodes = materialize(graph.union_graph(near(spark, d)[0]), "edges"), emb(spark, d).select("id")
     numbered = spark.createDataFrame([(0, 0.3), (1, 0.6)], "run long, gamma double")
-    found = leiden.leiden_rounds(edges, nodes.withColumn("mass", F.lit(1.0)).crossJoin(F.broadcast(numbered)), iterations=1)  # two runs
+    found = leiden.leiden_rounds(edges, nodes.withColumn("mass", F.lit(1.0)).crossJoin(F.broadcast(numbered)), iterations=1, rest=0.02)  # two runs
     return _invariants(nodes, edges, materialize(found.join(F.broadcast(numbered), "run").select(F.col("gamma").alias("resolution"), "id", "cluster"), "found"))
 
 
@@ -747,6 +747,12 @@ def hdbscan_baseline(spark: SparkSession, d: str) -> DataFrame:
     return experiments.baselines(units(spark, d), judged(spark, d).select("id", "true"), threshold=0.7)
 
 
+@query("density_tables")
+def density_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Density clusters from blocks of vectors and batches of tree edges."""
+    return density.density_clusters(units(spark, d), min_cluster_size=3, min_samples=2)
+
+
 @query("agglomerative_baseline")
 def agglomerative_baseline(spark: SparkSession, d: str) -> DataFrame:
     """Average linkage over the neighbour graph up to a cosine distance of 0.7."""

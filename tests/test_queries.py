@@ -22,7 +22,7 @@ def test_query_equals_sql(spark, con, name):
     check(QUERIES[name](spark, DIR), con, SQL[name])
 
 
-@pytest.mark.parametrize("name", ["pca_cosine_invariant", "resolution_profile", "merge_cascade", "shuffled_sequences", "hdbscan_baseline"])
+@pytest.mark.parametrize("name", ["pca_cosine_invariant", "resolution_profile", "merge_cascade", "shuffled_sequences", "hdbscan_baseline", "density_tables"])
 def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
 
