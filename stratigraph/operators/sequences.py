@@ -6,7 +6,7 @@ import random
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,9 +122,10 @@ def consensus(df: DataFrame, family: str, rec: str, seq: str, ignore_gaps: bool
     cut = F.when(size > 0, F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).otherwise(F.array(F.lit("")))
     pieces = df.where(F.col(seq).isNotNull()).select(family, rec, F.posexplode(cut).alias("block", "piece"))
     counted = pieces.groupBy(family, "block", "piece").agg(F.count(F.lit(1)).alias("n"), F.min(rec).alias("first"))
-    met = counted.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy(family, "block")))
-    alike = met.where("kinds = 1").select(family, "block", F.col("piece").alias("best"))
-    cells = met.where("kinds > 1").select(family, "block", "n", "first", F.posexplode(F.split("piece", "")).alias("pos", "ch"))
+    ends = counted.groupBy(family, "block").agg(F.min("piece").alias("low"), F.max("piece").alias("high"))
+    alike = ends.where("low = high").select(family, "block", F.col("low").alias("best"))
+    mixed = counted.join(ends.where("low <> high").select(family, "block"), [family, "block"], "left_semi")
+    cells = mixed.select(family, "block", "n", "first", F.posexplode(F.split("piece", "")).alias("pos", "ch"))
     counts = cells.groupBy(family, "block", "pos", "ch").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     gap = (F.col("ch") == "-").cast("int") if ignore_gaps else F.lit(0)
     best = counts.groupBy(family, "block", "pos").agg(F.min_by("ch", F.struct(gap, -F.col("n"), "first")).alias("ch"))
