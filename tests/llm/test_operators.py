@@ -700,3 +700,12 @@ def test_hostile_texts_come_back(spark):
         assert back[k].loss_texts == [texts[(k + 1) % len(texts)]]
     assert [(t.role, t.text) for t in back[99].turns] == [("", "")] and [t.text for t in back[None].turns] == ["n"]
     assert chat.chat_digest(rows.limit(0)).count() == 0
+
+
+# line dedup beyond the size of bitmaps that is sent
+def test_dealt_bitmaps_equal_sent_ones(spark, awkward, monkeypatch):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").union(awkward.select("doc_id", "text"))
+    rows = lambda: Counter((r.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in linededup.line_dedup(docs).collect())
+    sent = rows()
+    monkeypatch.setattr(linededup, "SENT_BYTES", -1)
+    assert rows() == sent and sum(n for *_, n in sent) > 0
