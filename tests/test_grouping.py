@@ -259,3 +259,16 @@ def test_density_and_linkage_separate_two_clouds():
     pairs = np.array([(a, b) for a, b in itertools.combinations(range(60), 2)])
     assert len(set(linked_labels(np.r_[np.tile([1.0, 0], (30, 1)), np.tile([0, 1.0], (30, 1))], pairs, 0.5))) == 2
     assert isinstance(pd.Series(labels), pd.Series)
+
+
+def test_mean_ranks_over_partitions(spark):
+    from stratigraph.operators.ranking import mean_ranks
+
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), round(rng.gauss(0, 1), rng.choice([0, 1, 4]))) for _ in range(3000)] + [("c", 0.5)] * 900
+    df = spark.createDataFrame(rows, "g string, x double").repartition(7)
+    got = {(r["g"], r["x"] + 0.0): r["rank"] for r in mean_ranks(df, "x", ["g"], "rank").collect()}
+    table = pd.DataFrame(rows, columns=["g", "x"])
+    table["rank"] = table.groupby("g")["x"].rank(method="average")
+    assert got == {(g, x + 0.0): k for g, x, k in zip(table["g"], table["x"], table["rank"], strict=True)}
+    assert mean_ranks(df.limit(0), "x", ["g"], "rank").count() == 0
