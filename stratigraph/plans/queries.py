@@ -598,6 +598,25 @@ def cophenetic_distance(spark: SparkSession, d: str) -> DataFrame:
     return trees.cophenetic_pairs(*nation_tree(spark, d)).select("i", "j", r6("d").alias("d"))
 
 
+@query(
+    "layer_correlations",
+    f"WITH {TREE}, {E}, part AS (SELECT id % (SELECT count(*) FROM nation) AS idx, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS value FROM e), "
+    "mean AS (SELECT idx, pos, avg(value) AS value FROM part GROUP BY 1, 2), x AS (SELECT idx, pos // 32 AS layer, list(value ORDER BY pos) AS x FROM mean GROUP BY 1, 2), "
+    "pd AS (SELECT a.layer, list_distance(a.x, b.x) AS a, co.d AS b FROM co JOIN x a ON a.idx = co.i JOIN x b ON b.idx = co.j AND b.layer = a.layer), "
+    "rk AS (SELECT *, rank() OVER (PARTITION BY layer ORDER BY a) + (count(*) OVER (PARTITION BY layer, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY layer ORDER BY b) + (count(*) OVER (PARTITION BY layer, b) - 1) / 2 AS rb FROM pd) "
+    "SELECT CAST(layer AS BIGINT) AS layer, round(corr(ra, rb), 4) AS spearman, round(corr(a, b), 4) AS pearson FROM rk GROUP BY layer",
+)
+def layer_correlations(spark: SparkSession, d: str) -> DataFrame:
+    """Distances of the nations' mean vectors, in two layers of 32 components, against those in the tree of nations."""
+    tree, index = nation_tree(spark, d)
+    cells = emb(spark, d).select((F.col("id") % index.count()).cast("string").alias("name"), F.posexplode("x").alias("pos", "value"))
+    means = cells.groupBy("name", "pos").agg(F.avg("value").alias("value"))
+    listed = F.sort_array(F.collect_list(F.struct("pos", "value")))
+    layered = means.groupBy("name", F.floor(F.col("pos") / 32).cast("long").alias("layer")).agg(F.transform(listed, lambda c: c["value"]).alias("x"))
+    pairs = materialize(trees.cophenetic_pairs(tree, index), "pairs")
+    return distances.layer_correlations(layered, pairs, index, ["layer"])
+
+
 @query(
     "interfamily_matrix",
     f"WITH {TREE}, dep AS (SELECT idx, max(dist) AS depth FROM lf JOIN up USING (node) GROUP BY 1), nn AS (SELECT count(*) AS n FROM nation) "
