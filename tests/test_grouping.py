@@ -197,8 +197,8 @@ def run_sequential(guide, fine, edges, x, rule):
     return {i: work.now(c) for i, c in fine.items()}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_branch_groups_equal_one_sequential_run(spark, seed):
+@pytest.mark.parametrize("seed, held", [(1, 200_000), (2, 200_000), (3, 200_000), (1, 0), (2, 0), (3, 12)])
+def test_branch_groups_equal_one_sequential_run(spark, seed, held):
     rng = np.random.default_rng(seed)
     n = 60
     x = {i: [float(v) for v in rng.normal(size=4) + np.eye(4)[i % 4] * 3] for i in range(n)}
@@ -208,11 +208,36 @@ def test_branch_groups_equal_one_sequential_run(spark, seed):
     e = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "u long, v long, w double")
     vec = spark.createDataFrame(list(x.items()), "id long, x array<double>")
     rule = merge.MergeRule(cos=0.7, edge=0.02, strong=0.3, k=8, large=10, rescue=True, rescue_cos=0.9, final=True)
-    merged, log = merge.merge_stage(table(guide), table(fine), e, vec, rule)
+    merged, log = merge.merge_stage(table(guide), table(fine), e, vec, rule, held=held)
     assert dict(merged.collect()) == run_sequential(guide, fine, edges, x, rule)
     assert log.where("merged").count() == len(set(fine.values())) - len(set(run_sequential(guide, fine, edges, x, rule).values()))
 
 
+def test_waves_where_every_guide_shares_a_cluster_with_the_next(spark):
+    rng = np.random.default_rng(9)
+    # cluster c has members in the guides c // 2 and (c + 1) // 2, so all guides hang in one chain
+    fine = {i: i // 6 for i in range(84)}
+    guide = {i: (c + i % 2) // 2 for i, c in fine.items()}
+    x = {i: [float(v) for v in rng.normal(size=3) + np.eye(3)[c % 3]] for i, c in fine.items()}
+    edges = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 84, (300, 2)).tolist() if a != b and abs(a - b) < 20})
+    table = lambda d: spark.createDataFrame(list(d.items()), "id long, cluster long")
+    e, vec = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "u long, v long, w double"), spark.createDataFrame(list(x.items()), "id long, x array<double>")
+    rule = merge.MergeRule(cos=0.6, edge=0.02, strong=0.25, k=4)
+    told = []
+    for held in (200_000, 0):
+        merged, log = merge.merge_stage(table(guide), table(fine), e, vec, rule, held=held)
+        assert dict(merged.collect()) == run_sequential(guide, fine, edges, x, merge.MergeRule(**{**rule.__dict__, "large": 12.0}))
+        told.append([(r.guide, r.seq, r.child_a, r.child_b, round(r.centroid_sim, 9), round(r.edge_connectivity, 9), r.merged, r.reason, r.size_a, r.size_b) for r in log.orderBy("guide", "seq").collect()])
+    assert told[0] == told[1] and any(r[6] for r in told[0]) and not all(r[6] for r in told[0])
+
+
+def test_stage_without_guides_or_edges(spark):
+    none = spark.createDataFrame([], "id long, cluster long")
+    fine, vec = spark.createDataFrame([(0, 4), (1, -1)], "id long, cluster long"), spark.createDataFrame([(0, [1.0]), (1, [2.0])], "id long, x array<double>")
+    merged, log = merge.merge_stage(none, fine, spark.createDataFrame([], "u long, v long, w double"), vec, merge.MergeRule())
+    assert dict(merged.collect()) == {0: 4, 1: -1} and log.isEmpty()
+
+
 def test_merge_paths():
     unit = lambda a: np.array([np.cos(a), np.sin(a)])
     judge = lambda sizes, angle, m, **r: merge.Branches({0: sizes[0], 1: sizes[1]}, {0: unit(0) * sizes[0], 1: unit(angle) * sizes[1]}, {(0, 1): m} if m else {}, merge.MergeRule(k=10, **r)).judge(0, 1)
