@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratigraph.operators.ranking import positions
 from stratigraph.storage import materialize
 
 TREE = "node int, parent int, branch_len double, name string"
@@ -59,14 +60,53 @@ def leaf_depths(tree: DataFrame) -> DataFrame:
     return leaves.select("node", "name").join(up, "node").select("name", "depth")
 
 
-def cophenetic_pairs(tree: DataFrame, index: DataFrame) -> DataFrame:
-    """(i, j, d) for all leaf pairs of the index (name, idx): the path over their deepest common ancestor."""
-    up = materialize(ancestors(tree), "tree")
-    leaf = index.join(tree.select("node", "name"), "name").join(up, "node").select("idx", "anc", "up")
-    left = leaf.select(F.col("idx").alias("i"), "anc", F.col("up").alias("ui"))
-    right = leaf.select(F.col("idx").alias("j"), "anc", F.col("up").alias("uj"))
-    # over any common ancestor the sum is at least the path, over the deepest it is the path
-    return left.join(right, "anc").where("i < j").groupBy("i", "j").agg(F.min(F.col("ui") + F.col("uj")).alias("d"))
+def _leaves_in_order(tree: DataFrame, index: DataFrame) -> DataFrame:
+    """(pos, idx, depth, fork) of the indexed nodes in pre-order, pos from 0.
+
+    The order is that of the paths from the root. ``fork`` is (steps, depth) of the deepest common ancestor with the node
+    before, null for the first; its steps are the length of the common start of both paths.
+    """
+    up = ancestors(tree)
+    wanted = index.join(tree.select("node", "name"), "name").select("idx", "node")
+    steps = F.sort_array(F.collect_list(F.struct((-F.col("hops")).alias("h"), "anc", "up")))
+    paths = wanted.join(up, "node").groupBy("idx", "node").agg(steps.alias("s"))
+    paths = paths.select("idx", F.transform("s", lambda a: a["anc"]).alias("path"), F.transform("s", lambda a: F.col("s")[0]["up"] - a["up"]).alias("depths"))
+    placed = materialize(positions(paths, "path"), "tree")
+    before = placed.select((F.col("pos") + 1).alias("pos"), F.col("path").alias("p0"))
+    differ = F.array_position(F.zip_with("path", "p0", lambda x, y: ~x.eqNullSafe(y)), F.lit(True))
+    common = F.when(differ > 0, differ - 1).otherwise(F.least(F.size("path"), F.size("p0"))).cast("int")
+    fork = F.when(F.col("p0").isNotNull(), F.struct(common.alias("steps"), F.get("depths", common - 1).alias("depth")))
+    return placed.join(before, "pos", "left").select("pos", "idx", F.element_at("depths", -1).alias("depth"), fork.alias("fork"))
+
+
+def cophenetic_pairs(tree: DataFrame, index: DataFrame, block: int = 256) -> DataFrame:
+    """(i, j, d) with i < j for all pairs of the index (name, idx): the path over their deepest common ancestor.
+
+    In pre-order the deepest common ancestor of two nodes is the least fork between them. The order is cut into blocks of
+    ``block`` nodes; for two blocks that meet it is the least of three forks: the rest of the one block, the blocks
+    between, the start of the other. So each pair is made once, no ancestor is a key, and meetings are equally large for a
+    tree of any shape. Names are unique in the tree and in the index; lengths may be negative. The result is quadratic.
+    """
+    chunk = F.floor(F.col("pos") / block).cast("int")
+    rows = _leaves_in_order(tree, index).withColumn("chunk", chunk)
+    whole = Window.partitionBy("chunk").orderBy("pos")
+    rows = rows.withColumn("head", F.min("fork").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("tail", F.min("fork").over(whole.rowsBetween(1, Window.unboundedFollowing)))
+    item = F.struct("pos", "idx", "depth", "fork", "head", "tail")
+    blocks = materialize(rows.groupBy("chunk").agg(F.sort_array(F.collect_list(item)).alias("items"), F.min("fork").alias("all")), "tree")
+    last = blocks.agg(F.max("chunk").alias("last"))
+    meet = blocks.select(F.col("chunk").alias("p")).crossJoin(F.broadcast(last)).select("p", F.explode(F.sequence("p", "last")).alias("q"))  # one row
+    # the forks of the blocks between p and q, without both
+    between = Window.partitionBy("p").orderBy("q").rowsBetween(Window.unboundedPreceding, -1)
+    meet = meet.join(blocks.select(F.col("chunk").alias("q"), "all"), "q").withColumn("mid", F.min(F.when(F.col("q") > F.col("p"), F.col("all"))).over(between)).drop("all")
+    side = lambda c, out: blocks.select(F.col("chunk").alias(c), F.col("items").alias(out))
+    met = meet.join(side("p", "left"), "p").join(side("q", "right"), "q").repartition("p", "q")
+    met = met.select("p", "q", "mid", "right", F.transform("left", lambda a: a["fork"]).alias("forks"), F.explode("left").alias("a"))
+    met = met.select("p", "q", "mid", "forks", "a", F.explode("right").alias("b")).where("b.pos > a.pos")
+    start = (F.col("a.pos") - F.col("p").cast("long") * block + 2).cast("int")
+    inside = F.array_min(F.slice("forks", start, (F.col("b.pos") - F.col("a.pos")).cast("int")))
+    fork = F.when(F.col("p") == F.col("q"), inside).otherwise(F.least("a.tail", "mid", "b.head"))
+    return met.select(F.least("a.idx", "b.idx").alias("i"), F.greatest("a.idx", "b.idx").alias("j"), (F.col("a.depth") + F.col("b.depth") - 2 * fork["depth"]).alias("d"))
 
 
 def graft(consensus: DataFrame, families: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Sequence files, clean-up, consensus, trees."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,35 @@ def test_newick(spark):
     assert {r.name: r.depth for r in trees.leaf_depths(tree).collect()} == {"A": 4, "B": 5, "C": 4}
 
 
+@pytest.mark.parametrize("shape, block", [("any", 256), ("any", 3), ("caterpillar", 4), ("star", 5)])
+def test_paths_between_leaves_equal_walks_to_the_root(spark, shape, block):
+    rng = random.Random(len(shape))
+    rows = [(0, None, 0.0, "n0")]
+    for k in range(1, 40):
+        parent = {"any": rng.randrange(k), "caterpillar": max(0, k - 1 - k % 2), "star": 0}[shape]
+        rows.append((k, parent, round(rng.uniform(-0.2, 2), 3), f"n{k}"))  # joined trees may have negative lengths
+    names = rng.sample(range(40), 23)  # inner nodes as well as leaves
+    up = {k: (p, w) for k, p, w, _ in rows}
+
+    def path(k):
+        out, d = {}, 0.0
+        while k is not None:
+            out[k] = d
+            k, d = up[k][0], d + up[k][1]
+        return out
+
+    want = {}
+    for i, a in enumerate(names):
+        for j, b in enumerate(names[:i]):
+            x, y = path(a), path(b)
+            deepest = next(k for k in x if k in y)  # walks go upwards
+            want[j, i] = x[deepest] + y[deepest]
+    index = spark.createDataFrame([(f"n{k}", i) for i, k in enumerate(names)], "name string, idx long")
+    got = trees.cophenetic_pairs(spark.createDataFrame(rows, trees.TREE), index, block).collect()
+    assert len(got) == len(want) and {(r.i, r.j): pytest.approx(r.d) for r in got} == want
+    assert trees.cophenetic_pairs(spark.createDataFrame(rows, trees.TREE), index.limit(0), block).isEmpty()
+
+
 def test_graft_below_named_node_or_root(spark):
     base = spark.createDataFrame(trees.parse_newick("(P1:1,P2:2)R;"), trees.TREE)
     fam = [("P1", *r) for r in trees.parse_newick("(a:1,b:1);")] + [("P9", *r) for r in trees.parse_newick("(c:1,d:1);")]
