@@ -6,10 +6,16 @@ No pair of items is ever made: sizes are aggregated first and pairs are counted
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratigraph.session import ship
+from stratigraph.storage import materialize
+
 
 def pairs_in(n: str | Column) -> Column:
     n = F.col(n) if isinstance(n, str) else n
@@ -94,31 +100,63 @@ def v_measure(df: DataFrame, pred: str = "pred", true: str = "true") -> DataFram
     return got.withColumn("v_measure", _ratio(2 * F.col("homogeneity") * F.col("completeness"), F.col("homogeneity") + F.col("completeness")))
 
 
-def _expected_mi(a: list[tuple[int, int]], b: list[tuple[int, int]], n: int) -> float:
-    """Expected mutual information of two random partitions with the given (size, multiplicity) pairs."""
-    facts = np.r_[0.0, np.cumsum(np.log(np.arange(1, n + 1)))]
-    total = 0.0
-    for x, mx in a:
-        for y, my in b:
-            k = np.arange(max(1, x + y - n), min(x, y) + 1)
-            weight = facts[x] + facts[y] + facts[n - x] + facts[n - y] - facts[n] - facts[k] - facts[x - k] - facts[y - k] - facts[n - x - y + k]
-            total += mx * my * float((k / n * np.log(n * k / (x * y)) * np.exp(weight)).sum())
-    return total
+def overlap_information(x: int, y: int, n: int) -> float:
+    """Expected part of the mutual information of two groups of x and y among n items that meet by chance.
+
+    The overlap k is hypergeometric. Its probabilities follow from the ratio of neighbours and are brought to sum 1, so no
+    factorial is needed at any n. Overlaps beyond 40 standard deviations and 100 of the mean weigh nothing in doubles.
+    """
+    mean = x * (y / n)
+    reach = 40 * np.sqrt(mean * (1 - x / n) * (1 - y / n) * n / max(n - 1, 1)) + 100
+    least, most = max(0, x + y - n, int(mean - reach)), min(x, y, int(mean + reach) + 1)
+    k = np.arange(least, most + 1, dtype=np.float64)
+    up = np.log((x - k[:-1]) * (y - k[:-1])) - np.log(k[1:] * (n - x - y + k[1:]))
+    weight = np.r_[0.0, np.cumsum(up)]
+    weight = np.exp(weight - weight.max())
+    some = k > 0
+    k, weight = k[some], weight[some] / weight.sum()
+    return float((k / n * (np.log(k / x) - np.log(y / n)) * weight).sum())
+
+
+def _expected_mi(cells: DataFrame, a: str, b: str) -> DataFrame:
+    """(expected) mutual information of random partitions with the group sizes of ``cells``, in one row.
+
+    Groups of one size are counted first, so a side has at most sqrt(2 N) different sizes. Both lists of sizes are dealt into
+    blocks of about 64, and each meeting of two blocks is one row of work of its own.
+    """
+    ship(cells.sparkSession)
+    sizes = lambda c, n: cells.select(c, n).distinct().groupBy(F.col(n).alias("size")).agg(F.count(F.lit(1)).alias("times"))
+
+    def blocks(table: DataFrame, part: str, items: str) -> DataFrame:
+        parts = int(np.ceil(table.count() / 64)) or 1
+        dealt = table.groupBy(F.pmod(F.xxhash64("size"), F.lit(parts)).cast("int").alias(part)).agg(F.collect_list(F.struct("size", "times")).alias(items))
+        return dealt
+
+    left, right = blocks(materialize(sizes(a, "na"), "sizes"), "pa", "left"), materialize(blocks(materialize(sizes(b, "nb"), "sizes"), "pb", "right"), "sizes")
+    meet = left.crossJoin(F.broadcast(right.agg(F.collect_set("pb").alias("parts")))).select("pa", "left", F.explode("parts").alias("pb"))  # one row
+    met = meet.join(right, "pb").crossJoin(F.broadcast(cells.agg(F.max("total").alias("n")))).repartition("pa", "pb")  # one row
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sums = [
+                sum(p["times"] * q["times"] * overlap_information(p["size"], q["size"], n) for p in one for q in other)
+                for one, other, n in zip(batch["left"], batch["right"], batch["n"].tolist(), strict=True)
+            ]
+            yield pd.DataFrame({"e": sums}, dtype="float64")
+
+    return met.select("left", "right", "n").mapInPandas(work, "e double").agg(F.coalesce(F.sum("e"), F.lit(0.0)).alias("expected"))
 
 
 def adjusted_mutual_info(df: DataFrame, pred: str = "pred", true: str = "true") -> DataFrame:
-    """ami, with the arithmetic mean. The driver gets sizes with their multiplicities, at most sqrt(2 N) of each side."""
-    sizes = lambda c: [tuple(map(int, r)) for r in df.groupBy(c).count().groupBy("count").agg(F.count(F.lit(1))).collect()]
-    got = _entropies(contingency(df, pred, true), []).first()
-    a, b = sizes(pred), sizes(true)
-    n = sum(x * m for x, m in a)
-    if sum(m for _, m in a) == sum(m for _, m in b) and (sum(m for _, m in a) <= 1 or sum(m for _, m in a) == n):
-        value = 1.0
-    else:
-        e = _expected_mi(a, b, n)
-        below = (got["ha"] + got["hb"]) / 2 - e
-        value = (got["mi"] - e) / (np.copysign(max(abs(below), np.finfo(float).eps), below))
-    return df.sparkSession.range(1).select(F.lit(float(value)).alias("ami"))
+    """ami, with the arithmetic mean; 1 for two partitions of one group each, of single items each, or of no item."""
+    cells = materialize(contingency(df, pred, true), "cells")
+    shape = cells.agg(F.countDistinct(pred).alias("groups_a"), F.countDistinct(true).alias("groups_b"), F.coalesce(F.max("total"), F.lit(0)).alias("n"))
+    got = _entropies(cells, []).crossJoin(_expected_mi(cells, pred, true)).crossJoin(shape)  # one row each
+    below = (F.col("ha") + F.col("hb")) / 2 - F.col("expected")
+    least = F.lit(float(np.finfo(float).eps))
+    below = F.when(below < 0, F.least(below, -least)).otherwise(F.greatest(below, least))
+    trivial = (F.col("groups_a") == F.col("groups_b")) & ((F.col("groups_a") <= 1) | (F.col("groups_a") == F.col("n")))
+    return got.select(F.when(trivial, 1.0).otherwise((F.col("mi") - F.col("expected")) / below).alias("ami"))
 
 
 def purity_entropy(df: DataFrame, pred: str = "pred", true: str = "true") -> DataFrame:

@@ -197,6 +197,39 @@ def run_sequential(guide, fine, edges, x, rule):
     return {i: work.now(c) for i, c in fine.items()}
 
 
+def test_chance_overlap_equals_exact_sums():
+    from fractions import Fraction
+    from math import comb, log
+
+    for x, y, n in [(1, 1, 1), (1, 1, 2), (3, 4, 7), (7, 7, 7), (5, 9, 12), (40, 300, 500), (1, 900, 1000), (400, 600, 1000)]:
+        want = sum(k / n * log(n * k / (x * y)) * float(Fraction(comb(x, k) * comb(n - x, y - k), comb(n, y))) for k in range(max(1, x + y - n), min(x, y) + 1))
+        assert evaluation.overlap_information(x, y, n) == pytest.approx(want, abs=1e-12)
+    # far beyond factorials: a nearly even hypergeometric, where the term tends to a known limit
+    n = 10**13
+    assert evaluation.overlap_information(n // 2, n // 2, n) == pytest.approx(1 / (8 * n), rel=0.01, abs=1e-13)
+    assert evaluation.overlap_information(1, n // 2, n) == pytest.approx(np.log(2) / (2 * n))
+
+
+def test_adjusted_information_of_random_labels(spark):
+    import math
+
+    rng = random.Random(8)
+    rows = [(rng.randrange(-1, 70), min(int(rng.expovariate(0.03)), 150)) for _ in range(1500)]
+    got = evaluation.adjusted_mutual_info(spark.createDataFrame(rows, "pred long, true long")).first()[0]
+    n, cells = len(rows), pd.DataFrame(rows, columns=["a", "b"])
+    na, nb, nab = (cells.groupby(c).size() for c in ("a", "b", ["a", "b"]))
+    mi = sum(m / n * math.log(m * n / (na[a] * nb[b])) for (a, b), m in nab.items())
+    ha, hb = (-sum(m / n * math.log(m / n) for m in side) for side in (na, nb))
+    g = math.lgamma
+    expected = sum(
+        k / n * math.log(n * k / (x * y)) * math.exp(g(x + 1) + g(y + 1) + g(n - x + 1) + g(n - y + 1) - g(n + 1) - g(k + 1) - g(x - k + 1) - g(y - k + 1) - g(n - x - y + k + 1))
+        for x in na for y in nb for k in range(max(1, x + y - n), min(x, y) + 1)
+    )
+    assert got == pytest.approx((mi - expected) / ((ha + hb) / 2 - expected), abs=1e-8)
+    one = lambda rows: evaluation.adjusted_mutual_info(spark.createDataFrame(rows, "pred long, true long")).first()[0]
+    assert one([]) == one([(1, 1)]) == one([(1, 5), (1, 5)]) == one([(1, 1), (2, 2)]) == 1 and one([(1, 1), (1, 2)]) == 0
+
+
 @pytest.mark.parametrize("seed, held", [(1, 200_000), (2, 200_000), (3, 200_000), (1, 0), (2, 0), (3, 12)])
 def test_branch_groups_equal_one_sequential_run(spark, seed, held):
     rng = np.random.default_rng(seed)
