@@ -1,4 +1,4 @@
-"""Top-k neighbours by inner product: exact, or approximate over cells."""
+"""Top-k neighbours by inner product: exact, approximate over cells, or refined from neighbours of neighbours."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratigraph.session import ship
+from stratigraph.storage import discard, materialize
 
 #: Bytes of vectors up to which the searched side is broadcast; beyond it blocks meet blocks.
 BROADCAST_BYTES = 64 << 20
@@ -140,3 +141,62 @@ def cell_neighbors(df: DataFrame, k: int, id_col: str = "id", col: str = "x", ce
         return _top(left["id"].to_numpy(), _matrix(left["x"]), right["j"].to_numpy(), _matrix(right["y"]), k)
 
     return _best(asked.groupBy("ca", "a", "b").cogroup(sought.groupBy("cb", "c", "d")).applyInPandas(meet, NEIGHBOURS), k)
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best of each row with their rank; Spark limits each partition's groups before the shuffle."""
+    best = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "j"))
+    return pairs.withColumn("rank", best).where(F.col("rank") <= k)
+
+
+def _pools(near: DataFrame, most: int, turn: int) -> DataFrame:
+    """(v, p, new): each row with its neighbours and at most ``most`` of the rows it is a neighbour of.
+
+    A row that many have as a neighbour keeps the least hashed one of each of ``most`` slots, so a hub is no larger group.
+    """
+    draw = F.xxhash64(F.lit(turn), "i")
+    back = near.groupBy(F.col("j").alias("v"), F.pmod(draw, F.lit(most)).alias("slot")).agg(F.min_by(F.struct(F.col("i").alias("p"), "new"), draw).alias("of"))
+    ahead = near.select(F.col("i").alias("v"), F.col("j").alias("p"), "new")
+    return ahead.union(back.select("v", "of.p", "of.new")).groupBy("v", "p").agg(F.max("new").alias("new"))
+
+
+def descent_neighbors(df: DataFrame, k: int, id_col: str = "id", col: str = "x", lists: int | None = None, probes: int = 4, rounds: int = 8, settled: float = 0.001) -> DataFrame:
+    """Approximate (i, rank, j, score) by refining a neighbour graph: neighbours of a row are likely neighbours of each other.
+
+    Lists of ``lists`` entries (2 k, 30 at least, if not given) start from a search of ``probes`` cells. In each round the
+    neighbours of a row and as many rows that have it as theirs are held against each other, pairs without a new member
+    left out, and what betters a list goes into it. Rounds end when fewer than ``settled`` of all entries changed. A row
+    takes part in at most (2 ``lists``)^2 / 2 comparisons a round whatever N is, and a task holds one such group at a time.
+    """
+    ship(df.sparkSession)
+    rows = materialize(df.select(F.col(id_col).cast("long").alias("id"), F.col(col).alias("x")), "descent")
+    width = lists or max(2 * k, 30)
+    start = cell_neighbors(rows, width, probes=probes).select("i", "j", "score", F.lit(True).alias("new"))
+    near = materialize(start, "descent")
+
+    def meet(pool: pd.DataFrame) -> pd.DataFrame:
+        ids, x, fresh, least = pool["p"].to_numpy(), _matrix(pool["x"]), pool["new"].to_numpy(bool), pool["least"].to_numpy()
+        scores = x @ x.T
+        better = (fresh[:, None] | fresh[None]) & (scores >= least[:, None]) & (ids[:, None] != ids[None])
+        scores = np.where(better, scores, -np.inf)
+        take = min(width, len(ids))
+        best = np.argpartition(-scores, take - 1, 1)[:, :take]
+        value = np.take_along_axis(scores, best, 1)
+        row, place = np.nonzero(value > -np.inf)
+        return pd.DataFrame({"i": ids[row], "j": ids[best[row, place]], "score": value[row, place]})
+
+    for turn in range(rounds):
+        # a list that is not full yet takes any row
+        least = near.groupBy("i").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).select(F.col("i").alias("id"), F.when(F.col("n") >= width, F.col("least")).alias("least"))
+        told = rows.join(least, "id", "left").select(F.col("id").alias("p"), "x", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+        found = _pools(near, width, turn).join(told, "p").groupBy("v").applyInPandas(meet, "i long, j long, score double")
+        both = near.select("i", "j", "score", F.lit(False).alias("new")).union(found.withColumn("new", F.lit(True)))
+        # one score a pair, the one that came first, so a pair is new once
+        merged = both.groupBy("i", "j").agg(F.min_by("score", F.struct("new", "score")).alias("score"), F.min("new").alias("new"))
+        after = materialize(_ranked(merged, width).drop("rank"), "descent")
+        discard(near)
+        near = after
+        changed, entries = near.agg(F.count_if("new"), F.count(F.lit(1))).first()
+        if changed <= settled * entries:
+            break
+    return _ranked(near, k).select("i", F.col("rank").cast("int").alias("rank"), "j", "score")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stratigraph.functions.providers import embed
 from stratigraph.functions.vector import norm
 from stratigraph.operators import baselines, density, distances, evaluation, graph, leiden, levels, merge, sequences, trees, vectors
-from stratigraph.operators.neighbors import adaptive_k, cell_neighbors, top_neighbors
+from stratigraph.operators.neighbors import adaptive_k, cell_neighbors, descent_neighbors, top_neighbors
 from stratigraph.plans import experiments, multiscale
 from stratigraph.sources import fasta
 from stratigraph.storage import materialize
@@ -643,12 +643,16 @@ def merge_seq_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "merge_stage_thresholds",
-    "WITH s AS (SELECT unnest(range(0, 5)) AS s), t AS (SELECT s + 1 AS stage, (s / 4.0) ** 2 AS t FROM s) "
-    "SELECT CAST(stage AS BIGINT) AS stage, round(least(0.85 + 0.10 * t, 0.98), 6)::DOUBLE AS cos, round(least(0.05 + 0.05 * t, 0.5), 6)::DOUBLE AS edge, round(least(0.10 + 0.05 * t, 0.5), 6)::DOUBLE AS strong, stage = 5 AS final FROM t",
+    f"WITH {E}, {PART}, c AS (SELECT level, count(DISTINCT cluster) AS k FROM part WHERE cluster >= 0 GROUP BY level), "
+    "t AS (SELECT level AS stage, k AS fine_k, ((level - 1) / 2.0) ** 2 AS t FROM c WHERE level > 0) "
+    "SELECT CAST(stage AS BIGINT) AS stage, fine_k, round(least(0.85 + 0.10 * t, 0.98), 6)::DOUBLE AS cos, round(least(0.05 + 0.05 * t, 0.5), 6)::DOUBLE AS edge, round(least(0.10 + 0.05 * t, 0.5), 6)::DOUBLE AS strong, stage = 3 AS final FROM t",
 )
 def merge_stage_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(k + 1, r.cos, r.edge, r.strong, r.final) for k, r in enumerate(merge.stage_rules(5))]
-    return spark.createDataFrame(rows, "stage long, cos double, edge double, strong double, final boolean").select("stage", *[r6(c).alias(c) for c in ("cos", "edge", "strong")], "final")
+    """Thresholds of the stages that the levels of the table have, with the clusters that come into each."""
+    found = parted(spark, d).where("cluster >= 0").groupBy("level").agg(F.countDistinct("cluster").alias("fine_k"))
+    rows = [(k + 1, r.cos, r.edge, r.strong, r.final) for k, r in enumerate(merge.stage_rules(found.count() - 1))]
+    rules = spark.createDataFrame(rows, "stage long, cos double, edge double, strong double, final boolean")
+    return found.join(rules, F.col("level") == F.col("stage")).select("stage", "fine_k", *[r6(c).alias(c) for c in ("cos", "edge", "strong")], "final")
 
 
 @query(
@@ -687,6 +691,38 @@ def knn_cells(spark: SparkSession, d: str) -> DataFrame:
     return exact.join(found, ["i", "j"], "left_semi").agg(F.count(F.lit(1)).alias("hit")).crossJoin(exact.agg(F.count(F.lit(1)).alias("n"))).select((F.col("hit") / F.col("n")).alias("recall"))  # one row each
 
 
+@query("knn_descent", "SELECT count(*) AS n_rows, true AS full, true AS enough FROM embeddings")
+def knn_descent(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, whether each list is full, and whether the refined neighbour graph has 0.95 of the exact neighbours."""
+    exact, k = near(spark, d)
+    found = materialize(descent_neighbors(units(spark, d), k), "found")
+    hit = exact.join(found, ["i", "j"], "left_semi").agg(F.count(F.lit(1)).alias("hit"))
+    size = found.groupBy("i").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_rows"), (F.min("n") == k).alias("full"))
+    return size.crossJoin(hit).crossJoin(exact.agg(F.count(F.lit(1)).alias("n"))).select("n_rows", "full", (F.col("hit") >= 0.95 * F.col("n")).alias("enough"))  # one row each
+
+
+@query(
+    "merge_waves",
+    f"WITH {E}, {PART}, f AS (SELECT * FROM part WHERE level = 2) SELECT (SELECT count(*) FROM f) AS n_items, (SELECT count(DISTINCT cluster) FROM f WHERE cluster >= 0) AS n_fine, true AS whole, true AS counted, true AS same_labels, true AS same_log",
+)
+def merge_waves(spark: SparkSession, d: str) -> DataFrame:
+    """A merge stage whose guides run in waves, and what must hold of it: fine clusters stay whole, each merge is one
+    cluster less, labels and log equal those of one queue for each connected group."""
+    nbr, k = near(spark, d)
+    part, edges, rows = materialize(parted(spark, d), "part"), materialize(graph.forward_graph(nbr), "edges"), emb(spark, d).select("id", "x")
+    at = lambda level: part.where(F.col("level") == level).select("id", "cluster")
+    rule = merge.MergeRule(cos=0.3, edge=0.02, strong=0.04, k=k, rescue=True, rescue_cos=0.35)
+    (waves, log), (queue, told) = (merge.merge_stage(at(1), at(2), edges, rows, rule, held=held) for held in (0, graph.SMALL))
+    both = at(2).withColumnRenamed("cluster", "fine").join(waves, "id").join(queue.withColumnRenamed("cluster", "other"), "id")
+    by = both.groupBy("fine").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("goals"), F.min("cluster").alias("cluster"), F.count_if(F.col("cluster") != F.col("other")).alias("differ"))
+    shape = by.agg(F.sum("n").alias("n_items"), F.count_if(F.col("fine") >= 0).alias("n_fine"), (F.max("goals") == 1).alias("whole"), (F.sum("differ") == 0).alias("same_labels"), F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("left"))
+    plain = lambda t: t.select("guide", "seq", "child_a", "child_b", "merged", "reason", "size_a", "size_b")
+    apart = plain(log).exceptAll(plain(told)).agg(F.count(F.lit(1)).alias("apart"))
+    sums = log.agg(F.count_if("merged").alias("merges"), F.count(F.lit(1)).alias("n_log")).crossJoin(told.agg(F.count(F.lit(1)).alias("n_told")))
+    same = (F.col("apart") == 0) & (F.col("n_log") == F.col("n_told"))
+    return shape.crossJoin(apart).crossJoin(sums).select("n_items", "n_fine", "whole", (F.col("n_fine") - F.col("left") == F.col("merges")).alias("counted"), "same_labels", same.alias("same_log"))  # one row each
+
+
 @query("merge_stages")
 def merge_stages(spark: SparkSession, d: str) -> DataFrame:
     nbr, k = near(spark, d)

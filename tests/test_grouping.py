@@ -181,6 +181,19 @@ def test_profile_makes_small_components_single(spark):
     assert part.groupBy("level").count().select("count").distinct().first()[0] == 111
 
 
+def test_refined_neighbours_reach_nearly_all_exact_ones(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 10)) + rng.integers(0, 4, (900, 1))
+    rows = [(5 * i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(x)] + [(9001, [0.0] * 10), (9002, [0.0] * 10)]
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    exact = {(r.i, r.j) for r in neighbors.top_neighbors(df, 8).collect()}
+    found = neighbors.descent_neighbors(df, 8, lists=20, probes=2).collect()
+    assert len({(r.i, r.j) for r in found}) == len(found) == 8 * len(rows) and all(r.i != r.j for r in found)
+    assert len(exact & {(r.i, r.j) for r in found if r.i < 9000}) >= 0.95 * 8 * 900
+    assert neighbors.descent_neighbors(df.limit(0), 3).isEmpty() and neighbors.descent_neighbors(df.limit(1), 3).isEmpty()
+    assert {(r.i, r.rank, r.j) for r in neighbors.descent_neighbors(df.limit(2), 3).collect()} == {(0, 1, 5), (5, 1, 0)}
+
+
 def run_sequential(guide, fine, edges, x, rule):
     """One queue over all guides in rising order, written plainly: what branch groups must reproduce."""
     sizes, totals, cross = {}, {}, {}
