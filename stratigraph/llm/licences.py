@@ -2,9 +2,10 @@
 
 A paragraph is a line, or consecutive lines with words that hold a hard-wrapped notice together. Its sparse features are the words and word pairs that occur in the licence templates, and how
 many of its words do not. A multinomial logistic regression over licence families and an unknown class is trained on
-variants of the templates (words dropped, swapped, added, owners and years before them) and on lines of other text;
+variants of the templates (words dropped, their start cut, swapped, added, owners and years before them) and on lines of other text;
 a temperature set on variants it has not seen calibrates the probabilities, that of unknown included. A predicted
-family is confirmed by a template of that family: enough of the template's word pairs must be in the paragraph.
+family is confirmed by a template of that family: enough of the template's word pairs must be in the paragraph, a version in
+its name must be there, and no template of another family may explain better what the two do not share.
 """
 
 from __future__ import annotations
@@ -29,14 +30,25 @@ UNKNOWN = "unknown"
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The software is provided as is, without warranty of any kind, express or implied"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
-    "BSD": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "Released under the GPL v3."],
-    "LGPL": ["Licensed under the GNU Lesser General Public License, version 3.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License"],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "Licensed under the Simplified BSD License (2-Clause)."],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "Released under the GPL v2."],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "Released under the GPL v3."],
+    "LGPL": ["This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License"],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "Released under the LGPL v2.1."],
+    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License", "Released under the LGPL v3."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "Released under the AGPL v3.", "Licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Unlicense": ["Released under the Unlicense.", "This is free and unencumbered software released into the public domain."],
+    "EPL-2.0": ["Licensed under the Eclipse Public License, version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
     "CC0": ["Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work.", "This work is dedicated to the public domain."],
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved.", "No part of this publication may be reproduced without prior written permission of the publisher."],
 }
@@ -76,6 +88,31 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([*sorted(at), WIDTH - 3, WIDTH - 2, WIDTH - 1]), np.array([1.0] * len(at) + tail)
 
 
+def _share(k: int, own: set[str]) -> float:
+    """Share of the word pairs of template k among ``own``; 0 if its family names a version that ``own`` does not."""
+    family, shape = SHAPES[k]
+    numbers = {p for p in shape if any(c.isdigit() for c in p)} if any(c.isdigit() for c in family.partition("-")[2]) else set()
+    return 0.0 if numbers and not numbers & own else len(own & shape) / max(1, len(shape))
+
+
+def _confirmed(family: str, own: set[str]) -> float | None:
+    """Share of the family's best template, or None where that is too small or another family explains the text better.
+
+    Templates of different families may share most of their words (versions, clauses, Affero and Lesser, NoDerivatives), so
+    two that both fit are held against each other only by the word pairs that just one of them has.
+    """
+    shares = [_share(k, own) for k in range(len(SHAPES))]
+    best = max((k for k, (f, _) in enumerate(SHAPES) if f == family), key=lambda k: shares[k])
+    if shares[best] < LEAST_SHARE:
+        return None
+    part = lambda pairs: len(own & pairs) / len(pairs) if pairs else 0.5
+    mine = SHAPES[best][1]
+    for k, (f, other) in enumerate(SHAPES):
+        if f != family and shares[k] >= LEAST_SHARE and part(other - mine) > part(mine - other):
+            return None
+    return shares[best]
+
+
 @dataclass
 class LicenceModel:
     weights: np.ndarray
@@ -98,9 +135,8 @@ class LicenceModel:
         best = int(p.argmax())
         if FAMILIES[best] == UNKNOWN or p[best] < LEAST_PROBABILITY:
             return None
-        own = set(pairs_of(words))
-        share = max(len(own & shape) / max(1, len(shape)) for family, shape in SHAPES if family == FAMILIES[best])
-        return (FAMILIES[best], float(p[best]), share) if share >= LEAST_SHARE else None
+        share = _confirmed(FAMILIES[best], set(pairs_of(words)))
+        return None if share is None else (FAMILIES[best], float(p[best]), share)
 
 
 def variants(rng: np.random.Generator, times: int) -> Iterator[tuple[list[str], int]]:
@@ -111,7 +147,8 @@ def variants(rng: np.random.Generator, times: int) -> Iterator[tuple[list[str],
             base = words_of(text)
             yield base, k
             for _ in range(times):
-                words = [w for w in base if rng.random() > 0.06]
+                first = int(rng.integers(1, 4)) if rng.random() < 0.3 and len(base) > 6 else 0
+                words = [w for w in base[first:] if rng.random() > 0.06]
                 if rng.random() < 0.3 and len(words) > 3:
                     at = int(rng.integers(len(words) - 1))
                     words[at : at + 2] = words[at : at + 2][::-1]
@@ -174,7 +211,8 @@ def _wrapped(lines: list[list[str]], model: LicenceModel, single: dict[int, tupl
     """(first line, number of lines, family, probability, share) of notices that stand on several lines together.
 
     ``lines`` are their words, ``single`` the lines that are notices of their own. A notice begins and ends with lines
-    that add to what it holds of a template, and holds more of it than the single notices inside hold of theirs. Its
+    that add to what it holds of a template, and holds more of it than the single notices inside hold of theirs; a further
+    line may change the family (a version at the end). Its
     inner lines have at most twice the words of the longest template.
     """
     inner = [{p for p in map(" ".join, zip(words, words[1:], strict=False)) if p in HOLDERS} for words in lines]
@@ -194,7 +232,7 @@ def _wrapped(lines: list[list[str]], model: LicenceModel, single: dict[int, tupl
                 if end - at < 2 or not new or not any(n >= LEAST_SHARE * len(shape) for n, (_, shape) in zip(seen, SHAPES, strict=True)):
                     continue
                 got = model.classify_words(words)
-                if got is None or (hit and got[0] != hit[2]):
+                if got is None:
                     continue
                 now = _strength(lines[at:end], got[0])
                 rest = [_strength(lines[at + 1 : end], got[0]), _strength(lines[at : end - 1], got[0]), strength, *(_strength([lines[k]], single[k][0]) for k in range(at, end) if k in single)]

@@ -512,6 +512,10 @@ def test_wrapped_notices_are_found(spark):
         "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "LGPL": "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License",
         "CC0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     }
@@ -527,6 +531,35 @@ def test_wrapped_notices_are_found(spark):
     assert {i: got[i] for i in want} == {i: {family} for i, family in want.items()}
 
 
+def test_near_families_are_told_apart():
+    model = licences.train([])
+    fsf = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    want = {
+        fsf.format("program", ":", "Affero General Public License", ",", "3"): "AGPL-3.0",
+        fsf.format("program", ";", "General Public License", ";", "2"): "GPL-2.0",
+        fsf.format("program", ":", "General Public License", ",", "3"): "GPL-3.0",
+        fsf.format("library", ";", "Lesser General Public License", ";", "2.1"): "LGPL-2.1",
+        fsf.format("library", ":", "Lesser General Public License", ",", "3"): "LGPL-3.0",
+        "Licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "Licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "Released under the BSD 2-Clause License.": "BSD-2-Clause",
+        "Released under the BSD 3-Clause License.": "BSD-3-Clause",
+        "Licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY",
+        "Licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND",
+        "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA",
+        "Licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA",
+        "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND",
+        "Licensed under the ISC License.": "ISC",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is at": "EPL-2.0",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    }
+    assert {text: (model.classify(text) or [None])[0] for text in want} == want
+    # a version that no family has is confirmed by none
+    for text in [fsf.format("program", ";", "General Public License", ";", "1"), "Licensed under the Apache License, Version 1.1."]:
+        assert model.classify(text) is None
+
+
 def test_planted_licence_lines_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     plain = re.compile(r"^(Licensed under (CC BY-NC 4\.0|the Apache License, Version 2\.0)|This work is licensed under the GNU General Public License, version 3|Released under the MIT License|All rights reserved)\.$")
