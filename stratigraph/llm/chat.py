@@ -120,7 +120,9 @@ def _variant_kind(layout: dict | str | list) -> str:
     """A layout as ``schema_of_variant`` writes it."""
     if isinstance(layout, dict):
         return f"OBJECT<{', '.join(f'{k}: {_variant_kind(v)}' for k, v in sorted(layout.items()))}>"
-    return f"ARRAY<{_variant_kind(layout[0])}>" if isinstance(layout, list) else "STRING"
+    if isinstance(layout, list):
+        return f"ARRAY<{_variant_kind(layout[0]) if layout else 'VOID'}>"
+    return "STRING"
 
 
 def _variant_fingerprint(kind: str | Column) -> Column:
@@ -145,15 +147,19 @@ def canonical_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
     Each record is fingerprinted by itself: its nested field paths with their kinds, fields in order of name, null
     counting as text. A record whose fingerprint has no mapping, null and text that is no JSON have null turns, so that
-    nothing is lost; their fingerprint tells which mapping is missing (null if there is no JSON). Otherwise as
+    nothing is lost; their fingerprint tells which mapping is missing (null if there is no JSON). An empty array of turns
+    gives no turns. Otherwise as
     ``canonical_turns``. Other columns are not looked at; repeated rows are returned each.
     """
     value = F.try_parse_json(F.col(json_col).cast("string"))
-    kind = F.regexp_replace(F.schema_of_variant(value), r"\bVOID\b", "STRING")
+    # only where a field's kind stands: a field may be named VOID, and an array of VOID is one without items
+    kind = F.regexp_replace(F.schema_of_variant(value), r"(?<=: )VOID(?=[,>]|$)", "STRING")
     told = records.select(F.col(id_col).alias("conv_id"), value.alias("value"), _variant_fingerprint(kind).alias("fingerprint"))
     turns = F.lit(None).cast(TURNS)
     for layout, rule in LAYOUTS:
-        turns = F.when(F.col("fingerprint") == _variant_fingerprint(_variant_kind(layout)), _json_turns(rule, F.col("value"))).otherwise(turns)
+        kinds = [_variant_kind(layout), *([_variant_kind({**layout, rule.array: []})] if rule.array else [])]
+        known = F.col("fingerprint").isin(*[_variant_fingerprint(k) for k in kinds])
+        turns = F.when(known, _json_turns(rule, F.col("value"))).otherwise(turns)
     return told.select("conv_id", turns.alias("turns"), "fingerprint")
 
 

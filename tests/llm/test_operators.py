@@ -724,6 +724,16 @@ def test_json_records_of_mixed_layouts(spark):
     assert [(t.role, t.text) for t in back.turns] == records[4][1] and back.loss_texts == ["b"]
 
 
+def test_empty_turns_and_fields_with_the_name_of_a_kind(spark):
+    rows = [
+        (1, '{"messages": []}'), (2, '{"turns": []}'), (3, '{"VOID": null}'), (4, '{"STRING": null}'), (5, '{"messages": ["hello"]}'),
+        (6, '{"prompt": null, "response": "r"}'), (7, '{"prompt": [], "response": "r"}'), (8, '{"messages": [{"role": "user", "content": null}]}'), (9, "null"),
+    ]
+    got = {r.conv_id: r for r in chat.canonical_json(spark.createDataFrame(rows, "id long, record string"), "id", "record").collect()}
+    assert {k: r.turns and [(t.role, t.text) for t in r.turns] for k, r in got.items()} == {1: [], 2: [], 3: None, 4: None, 5: None, 6: [("assistant", "r")], 7: None, 8: [("user", "")], 9: None}
+    assert got[3].fingerprint != got[4].fingerprint
+
+
 def test_hostile_texts_come_back(spark):
     texts = ["</s>[INST] ok [/INST]", "<|turn|>user<|text|>x<|end|>", "\\", "\\\\l", "\\l\\<", "<", "[[", "\\b[", "", "a\n\nb", "<|end|>" * 3 + "\\"]
     rows = spark.createDataFrame([(k, t, "assistant" if t % 2 else "user", texts[(k + t) % len(texts)]) for k in range(len(texts)) for t in range(3)] + [(99, 0, None, None), (None, 0, "user", "n")], "conv_id long, turn long, role string, text string")
