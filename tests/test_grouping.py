@@ -93,6 +93,19 @@ def test_neighbours_in_blocks_equal_broadcast_and_ties_go_to_the_least_id(spark)
         assert [j for a, _, j in whole if a == i] == want
 
 
+def test_exact_search_leaves_vectors_off_the_driver_and_copies_tie_by_id(spark, monkeypatch):
+    base = np.random.default_rng(3).normal(size=(30, 7)) * 1e6
+    df = spark.createDataFrame([(k, [float(v) for v in base[k % 30]]) for k in range(600)], "id long, x array<double>")
+    monkeypatch.setattr(type(df), "toPandas", lambda *_: pytest.fail("a table came to the driver"))
+    got = {}
+    for r in neighbors.top_neighbors(df, 25, block_rows=70).collect():
+        got.setdefault(r.i, {})[r["rank"]] = r.j
+    for i in range(600):
+        order = sorted(range(30), key=lambda c: -float(base[c] @ base[i % 30]))
+        want = [j for c in order[:3] for j in range(c, 600, 30) if j != i][:25]
+        assert [got[i][rank] for rank in range(1, 26)] == want
+
+
 def test_neighbours_over_cells_find_nine_of_ten(spark):
     rows = [(r[0], r[1]) for r in planted((25,) * 12, width=12, noise=0.15)]
     df = vectors.l2_normalize(spark.createDataFrame(rows, "id long, x array<double>"))
