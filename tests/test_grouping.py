@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stratigraph.operators import evaluation, graph, leiden, leiden_kernel, levels, merge, neighbors, vectors
-from stratigraph.operators.baselines import density_labels, linked_labels
+from stratigraph.operators.baselines import agglomerative, density_labels, linked_labels
 from stratigraph.operators.components import connected_components
 from stratigraph.plans import multiscale
 
@@ -106,6 +106,25 @@ def test_exact_search_leaves_vectors_off_the_driver_and_copies_tie_by_id(spark,
         assert [got[i][rank] for rank in range(1, 26)] == want
 
 
+def test_agglomeration_joins_no_list_of_pairs_to_rows(spark):
+    rows = planted((20, 20, 20), width=8, noise=0.3)
+    df = vectors.l2_normalize(spark.createDataFrame([(r[0], r[1]) for r in rows], "id long, x array<double>"))
+    got = agglomerative(df, 0.3, "average", 8)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    x = np.array([r.x for r in df.orderBy("id").collect()])
+    pairs = {tuple(sorted((r.i, r.j))) for r in neighbors.top_neighbors(df, 8).collect()}
+    clusters, linked = {k: [k] for k in range(60)}, set(pairs)
+    while linked:  # every mean over all pairs of members
+        d, a, b = min((float(np.mean(1 - x[clusters[a]] @ x[clusters[b]].T)), a, b) for a, b in linked)
+        if d > 0.3:
+            break
+        new = max(clusters) + 1 + len(rows)
+        clusters[new] = clusters.pop(a) + clusters.pop(b)
+        linked = {tuple(sorted(new if c in (a, b) else c for c in pair)) for pair in linked if pair != (a, b)}
+    want = {k: min(own) for own in clusters.values() for k in own}
+    assert {r.id: r.cluster for r in got.collect()} == want
+
+
 def test_neighbours_over_cells_find_nine_of_ten(spark):
     rows = [(r[0], r[1]) for r in planted((25,) * 12, width=12, noise=0.15)]
     df = vectors.l2_normalize(spark.createDataFrame(rows, "id long, x array<double>"))
