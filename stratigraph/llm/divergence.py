@@ -53,29 +53,42 @@ def _binary(starts: np.ndarray, data: np.ndarray, kind: pa.DataType) -> pa.Array
 
 def _postings(texts: list[bytes], docs: np.ndarray, groups: list[tuple[str, str]]) -> pa.RecordBatch | None:
     """One row for every (group, span, term) of a block of folded texts."""
+    # what a block needs in between is let go as soon as may be: it is several times the block's text
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     inside = data != 32
-    edges = np.flatnonzero(np.diff(np.r_[False, inside].astype(np.int8)))
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edges = np.r_[0, edges]
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return None
     words = _binary(np.r_[0, np.cumsum(ends - starts)], data[inside], pa.string()).dictionary_encode()
+    del data, inside, ends
     numbers = {g: k for k, g in enumerate(dict.fromkeys(groups))}
     group = np.fromiter((numbers[g] for g in groups), np.int64, len(groups))
-    text_of = np.searchsorted(np.cumsum(sizes + 1), starts, "right")
+    text_of = np.searchsorted(np.cumsum(sizes + 1), starts, "right").astype(np.int32)
+    del edges, starts
     at = np.lexsort((docs, group))  # texts by group and document; a text's place stands for both
-    place = np.empty(len(at), np.int64)
+    place = np.empty(len(at), np.int32)
     place[at] = np.arange(len(at))
     span = docs // SPAN
     breaks = np.r_[True, (group[at][1:] != group[at][:-1]) | (span[at][1:] != span[at][:-1])]
     lot = np.cumsum(breaks) - 1  # (group, span) of a place
-    code = words.indices.to_numpy().astype(np.int64)
     # sorted by lot, word and place; an occurrence is one long
     where = place[text_of]
-    key = (lot[where] * len(words.dictionary) + code) * len(texts) + where
-    key, count = np.unique(key, return_counts=True)
-    run, where = np.divmod(key, len(texts))
+    del text_of
+    key = lot[where]
+    key *= len(words.dictionary)
+    key += words.indices.to_numpy()
+    key *= len(texts)
+    key += where
+    del where
+    key.sort()
+    differs = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[differs, len(key)])
+    run, where = np.divmod(key[differs], len(texts))
+    del key, differs
     doc = docs[at][where]
     heads = np.r_[True, run[1:] != run[:-1]]
     head = np.flatnonzero(heads)

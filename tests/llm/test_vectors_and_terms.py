@@ -219,3 +219,19 @@ def test_small_blocks_and_batches_give_the_same_runs(monkeypatch):
 def test_shares_of_large_counts_are_exact():
     count = np.array([0, 5, 10**15])
     assert divergence.shares(count, 10**15 + 5, 3).tolist() == [1 + 10**9 * (int(c) + 2) // (10**15 + 5 + 6) for c in count]
+
+
+def test_a_block_of_postings_takes_less_than_sixteen_times_its_text():
+    import tracemalloc
+
+    from stratigraph.llm.divergence import _postings
+
+    rng = np.random.default_rng(0)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    words = np.array([f"w{k}".translate(letters).encode() for k in range(20_000)])
+    texts = [b" ".join(words[rng.integers(0, 20_000, 300)].tolist()) for _ in range(2000)]
+    tracemalloc.start()
+    _postings(texts, np.arange(2000), [("a", f"s{k % 5}") for k in range(2000)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * sum(map(len, texts))
