@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,34 @@ def test_pairs_of_families_correlate(spark):
     assert (row.a, row.b, row.spearman, row.pearson) == ("p", "q", 1.0, 1.0)
     own = spark.createDataFrame([("p", i, j, float(j - i)) for i in range(3) for j in range(i + 1, 3)], "family string, i long, j long, d double")
     assert experiments.family_correlations(vec, own).first().pearson == 1.0
+
+
+def test_pairs_of_one_family_are_shared_out(spark):
+    rng = np.random.default_rng(3)
+    x = {k: rng.normal(size=5).tolist() for k in range(60)}
+    x[4], x[9], x[11] = x[5], [1.0, None, 0.0, 0.0, 0.0], [1.0]
+    vec = spark.createDataFrame([("f", str(k), v) for k, v in x.items() if k != 7], "fam string, name string, x array<double>")
+    index = spark.createDataFrame([("f", str(k), k) for k in range(60)] + [("g", "0", 0), ("g", "1", 1), (None, "2", 2)], "fam string, name string, idx int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together
+    try:
+        got = distances.euclidean_pairs(vec, index, ["fam"], block_rows=8).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    far = lambda i, j: 0.0 if {i, j} & {7, 9, 11} else float(np.sqrt(((np.array(x[i]) - np.array(x[j])) ** 2).sum()))
+    want = {("f", i, j): far(i, j) for i in range(60) for j in range(i + 1, 60)} | {("g", 0, 1): 0.0}
+    assert len(got) == len(want) and {(r.fam, r.i, r.j): r.d for r in got} == pytest.approx(want)
+    assert len({r.part for r in got if r.fam == "f"}) > 1
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_correlations_from_counted_values(spark, monkeypatch, sent):
+    import pandas as pd
+
+    monkeypatch.setattr(distances, "SENT_RANKS", sent)
+    rng = np.random.default_rng(5)
+    rows = [(g, float(rng.integers(0, 9)) + 1e6, float(rng.integers(0, 5))) for g in ("p", "q") for _ in range(80)]
+    flat = [("flat", 0.1, float(k)) for k in range(3)] + [("one", 1.0, 2.0), ("p", None, 1.0)]
+    got = {r.g: (r.spearman, r.pearson) for r in distances.correlations(spark.createDataFrame(rows + flat, "g string, a double, b double"), ["g"]).collect()}
+    for g, own in pd.DataFrame(rows, columns=["g", "a", "b"]).groupby("g"):
+        assert got[g] == pytest.approx((own["a"].rank().corr(own["b"].rank()), own["a"].corr(own["b"])), abs=6e-5)
+    assert got["flat"] == got["one"] == (None, None)
