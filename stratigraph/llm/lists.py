@@ -130,16 +130,22 @@ def list_classes(listed: DataFrame, payload: Callable[[DataFrame], DataFrame], m
     pivots = sizes.select("key", F.lit(0).alias("block_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block_b"), F.col("key").alias("node"), F.col("key").alias("own"), F.lit(True).alias("seeks"))
     stars = materialize(_compared(held.union(pivots), told, matcher), "lists")
 
-    parts = connected_components(stars, small=SMALL)
+    parts = materialize(connected_components(stars, small=SMALL), "lists")
     pivot_parts = parts.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_part"))
-    # a list of two has its only pair settled
-    named = lists.where("n > 2").join(parts, "node", "left").join(pivot_parts, "pivot", "left")
-    named = named.select("key", "node", "n", F.coalesce("component", "node").alias("own"), F.coalesce("pivot_part", "pivot").alias("goal"))
-    named = materialize(named.withColumn("apart", F.col("own") != F.col("goal")), "lists")
-    open_lists = named.groupBy("key").agg(F.count_if("apart").alias("away")).where("away > 0")
-    left = materialize(named.join(open_lists, "key"), "lists")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        named = rows.join(parts, "node", "left").join(pivot_parts, "pivot", "left")
+        own, goal = F.coalesce("component", "node"), F.coalesce("pivot_part", "pivot")
+        return named.select(*rows.columns, own.alias("own"), (own != goal).alias("apart"))
+
+    # whether a member is apart from its pivot is asked once a pair, not once in each of their lists
+    apart = placed(pairs.select(F.col("key").alias("pivot"), "node")).where("apart").select("pivot", "node")
+    apart = materialize(apart, "lists")
+    longer = lists.where("n > 2")  # a list of two has its only pair settled
+    away = materialize(longer.join(apart, ["pivot", "node"]).groupBy("key").agg(F.count(F.lit(1)).alias("away")), "lists")
+    left = materialize(placed(longer.join(away, "key")), "lists")
     more = materialize(_compared(_dealt(left), told, matcher), "lists")
     out = materialize(connected_components(stars.union(more), small=SMALL), "lists")
-    for used in (counted, shared, heads, lists, told, pairs, sizes, stars, named, left, more):
+    for used in (counted, shared, heads, lists, told, pairs, sizes, stars, parts, apart, away, left, more):
         discard(used)
     return out

@@ -752,3 +752,23 @@ def test_dealt_bitmaps_equal_sent_ones(spark, awkward, monkeypatch):
     sent = rows()
     monkeypatch.setattr(linededup, "SENT_BYTES", -1)
     assert rows() == sent and sum(n for *_, n in sent) > 0
+
+
+@pytest.mark.parametrize("far", [False, True])
+def test_settled_lists_are_not_written_again(spark, monkeypatch, far):
+    """30 copies in 40 lists, each without one of them: what is asked after the pivots is asked once a pair, not once a list."""
+    sizes, write = [], lists.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(lists, "materialize", counted)
+    rows = [(k, v) for k in range(40) for v in range(30) if v != k % 30] + [(99, 100 + v) for v in range(4 * far)]
+    value = lambda v: 0 if v < 100 else v // 2  # noqa: E731  100 and 101 are near, 102 and 103 are
+    payload = lambda nodes: nodes.withColumn("value", F.when(F.col("node") < 100, 0).otherwise(F.floor(F.col("node") / 2)).cast("long"))
+    matcher = lambda group: lambda one, others: group["value"][others] == group["value"][one]
+    got = {r.node: r.component for r in lists.list_classes(spark.createDataFrame(rows, "key long, node long"), payload, matcher).collect()}
+    assert got == {v: min(u for _, u in rows if value(u) == value(v)) for _, v in rows}
+    assert sum(n > 800 for n in sizes) <= 2  # entries as they come, and without equal lists
