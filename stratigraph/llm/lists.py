@@ -3,10 +3,12 @@
 A list is the set of nodes that share a key. Any two of its members may be near; what is wanted is the components of all
 near pairs.
 
-1. In each list the member that meets the most others over all its lists is the pivot. Every other member is held
-   against it: one comparison a member. In a group of copies the pivot is the text they come from, or close to it.
-2. The links so far give components. A list whose members are of one component is settled.
-3. In the lists left, the members that are not of their pivot's component seek: each is compared with the members of
+1. In each list the member that meets the most others over all its lists is the pivot. Every node is first held against
+   that of its pivots which meets the most: one comparison a node, so a group of n members in many lists of other members
+   and pivots has n links. In a group of copies that pivot is the text they come from, or close to it.
+2. The links so far give components. A member that is of its pivot's component is settled; the others are held
+   against their pivots, and a pivot takes one link to each component.
+3. Components again. A list whose members are of one component is settled. In the lists left, the members that are not of their pivot's component seek: each is compared with the members of
    other components. Only links that join components come back, fewer than the list has members.
 
 Lists of equal members count once. Pivots and lists of more than ``BLOCK`` members are dealt into blocks, so no task
@@ -105,6 +107,16 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return short.union(meets).union(seeking)
 
 
+def _starred(pairs: DataFrame) -> DataFrame:
+    """Pivots against their members as groups: ``pairs (pivot, node, own, goal)``, a written table; ``goal`` is the pivot's own."""
+    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.first("goal").alias("goal"))
+    zero, no, yes = F.lit(0).alias("block_a"), F.lit(False).alias("seeks"), F.lit(True).alias("seeks")
+    place = F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block_b")
+    held = pairs.drop("goal").join(sizes, "pivot").select(F.col("pivot").alias("key"), zero, place, "node", "own", no)
+    blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block_b")
+    return held.union(sizes.select(F.col("pivot").alias("key"), zero, blocks, F.col("pivot").alias("node"), F.col("goal").alias("own"), yes))
+
+
 def list_classes(listed: DataFrame, payload: Callable[[DataFrame], DataFrame], matcher: Matcher) -> DataFrame:
     """(node, component) of the nodes of ``listed (key, node)`` that are linked to another.
 
@@ -115,37 +127,41 @@ def list_classes(listed: DataFrame, payload: Callable[[DataFrame], DataFrame], m
     shared = materialize(listed.join(F.broadcast(counted) if counted.count() <= SENT_KEYS else counted, "key"), "lists")
     meets = shared.groupBy("node").agg(F.sum(F.col("n") - 1).alias("meets"))
     heads = shared.join(meets, "node").groupBy("key").agg(
-        F.max(F.struct("meets", "node"))["node"].alias("pivot"),
+        F.max(F.struct("meets", "node")).alias("top"),
         F.first("n").alias("n"),
         F.bit_xor(F.xxhash64("node")).alias("mark"),
         F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("mark_too"),
     )
-    heads = materialize(heads.groupBy("n", "mark", "mark_too", "pivot").agg(F.min("key").alias("key")).select("key", "pivot"), "lists")
-    lists = materialize(shared.join(heads, "key"), "lists")
+    heads = heads.groupBy("n", "mark", "mark_too", "top").agg(F.min("key").alias("key"))
+    heads = materialize(heads.select("key", F.col("top.node").alias("pivot"), F.col("top.meets").alias("meets")), "lists")
+    lists = materialize(shared.join(heads.drop("meets"), "key"), "lists")
     told = materialize(payload(lists.select("node").distinct()), "lists")
+    met = heads.groupBy("pivot").agg(F.first("meets").alias("meets"))  # a pivot meets as many in each list it heads
 
-    pairs = materialize(lists.where("node <> pivot").select(F.col("pivot").alias("key"), "node").distinct(), "lists")
-    sizes = materialize(pairs.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "lists")
-    held = pairs.join(sizes, "key").select("key", F.lit(0).alias("block_a"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block_b"), "node", F.col("node").alias("own"), F.lit(False).alias("seeks"))
-    pivots = sizes.select("key", F.lit(0).alias("block_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block_b"), F.col("key").alias("node"), F.col("key").alias("own"), F.lit(True).alias("seeks"))
-    stars = materialize(_compared(held.union(pivots), told, matcher), "lists")
+    pairs = materialize(lists.where("node <> pivot").select("pivot", "node").distinct(), "lists")
+    first = pairs.join(met, "pivot").groupBy("node").agg(F.max(F.struct("meets", "pivot"))["pivot"].alias("pivot"))
+    first = materialize(first.select("pivot", "node", F.col("node").alias("own"), F.col("pivot").alias("goal")), "lists")
+    stars = materialize(_compared(_starred(first), told, matcher), "lists")
 
-    parts = materialize(connected_components(stars, small=SMALL), "lists")
-    pivot_parts = parts.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_part"))
-
-    def placed(rows: DataFrame) -> DataFrame:
+    def placed(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        pivot_parts = parts.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_part"))
         named = rows.join(parts, "node", "left").join(pivot_parts, "pivot", "left")
         own, goal = F.coalesce("component", "node"), F.coalesce("pivot_part", "pivot")
-        return named.select(*rows.columns, own.alias("own"), (own != goal).alias("apart"))
+        return named.select(*rows.columns, own.alias("own"), goal.alias("goal"), (own != goal).alias("apart"))
+
+    hooked = materialize(connected_components(stars, small=SMALL), "lists")
+    rest = placed(pairs, hooked).where("apart").join(first.select("pivot", "node"), ["pivot", "node"], "left_anti")
+    rest = materialize(rest.select("pivot", "node", "own", "goal"), "lists")
+    stars_too = materialize(_compared(_starred(rest), told, matcher), "lists")
+    parts = materialize(connected_components(stars.union(stars_too), small=SMALL), "lists")
 
     # whether a member is apart from its pivot is asked once a pair, not once in each of their lists
-    apart = placed(pairs.select(F.col("key").alias("pivot"), "node")).where("apart").select("pivot", "node")
-    apart = materialize(apart, "lists")
+    apart = materialize(placed(pairs, parts).where("apart").select("pivot", "node"), "lists")
     longer = lists.where("n > 2")  # a list of two has its only pair settled
     away = materialize(longer.join(apart, ["pivot", "node"]).groupBy("key").agg(F.count(F.lit(1)).alias("away")), "lists")
-    left = materialize(placed(longer.join(away, "key")), "lists")
+    left = materialize(placed(longer.join(away, "key"), parts).drop("goal"), "lists")
     more = materialize(_compared(_dealt(left), told, matcher), "lists")
-    out = materialize(connected_components(stars.union(more), small=SMALL), "lists")
-    for used in (counted, shared, heads, lists, told, pairs, sizes, stars, parts, apart, away, left, more):
+    out = materialize(connected_components(stars.union(stars_too).union(more), small=SMALL), "lists")
+    for used in (counted, shared, heads, lists, told, pairs, first, stars, hooked, rest, stars_too, parts, apart, away, left, more):
         discard(used)
     return out

@@ -772,3 +772,22 @@ def test_settled_lists_are_not_written_again(spark, monkeypatch, far):
     got = {r.node: r.component for r in lists.list_classes(spark.createDataFrame(rows, "key long, node long"), payload, matcher).collect()}
     assert got == {v: min(u for _, u in rows if value(u) == value(v)) for _, v in rows}
     assert sum(n > 800 for n in sizes) <= 2  # entries as they come, and without equal lists
+
+
+def test_a_group_in_many_small_lists_gives_few_links(spark, monkeypatch):
+    """40 copies, each two in a list of their own, and a node that shares one list with them: a link a node, not a pair."""
+    taken, join = [], lists.connected_components
+
+    def counted(edges, **how):
+        taken.append(edges.count())
+        return join(edges, **how)
+
+    monkeypatch.setattr(lists, "connected_components", counted)
+    pairs = [(a, b) for a in range(40) for b in range(a)] + [(39, 50), (50, 51), (51, 52)]
+    rows = [(k, v) for k, pair in enumerate(pairs) for v in pair]
+    value = lambda v: 0 if v < 50 else 1
+    payload = lambda nodes: nodes.withColumn("value", F.when(F.col("node") < 50, 0).otherwise(1).cast("long"))
+    matcher = lambda group: lambda one, others: group["value"][others] == group["value"][one]
+    got = {r.node: r.component for r in lists.list_classes(spark.createDataFrame(rows, "key long, node long"), payload, matcher).collect()}
+    assert got == {v: 50 * value(v) for _, v in rows}
+    assert max(taken) <= len(got)
