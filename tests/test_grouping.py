@@ -226,6 +226,14 @@ def test_refined_neighbours_reach_nearly_all_exact_ones(spark):
     assert {(r.i, r.rank, r.j) for r in neighbors.descent_neighbors(df.limit(2), 3).collect()} == {(0, 1, 5), (5, 1, 0)}
 
 
+def test_long_lists_are_not_refined_where_all_pairs_are_fewer(spark, monkeypatch):
+    """Lists of 30 would hold up to 1800 pairs a row and round against each other; 200 rows have 199."""
+    monkeypatch.setattr(neighbors, "cell_neighbors", None)
+    x = np.random.default_rng(5).normal(size=(200, 6))
+    df = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    assert neighbors.descent_neighbors(df, 8).exceptAll(neighbors.top_neighbors(df, 8)).isEmpty() and neighbors.descent_neighbors(df, 8).count() == 1600
+
+
 def run_sequential(guide, fine, edges, x, rule):
     """One queue over all guides in rising order, written plainly: what branch groups must reproduce."""
     sizes, totals, cross = {}, {}, {}
