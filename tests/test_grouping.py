@@ -383,3 +383,24 @@ def test_mean_ranks_over_partitions(spark):
     table["rank"] = table.groupby("g")["x"].rank(method="average")
     assert got == {(g, x + 0.0): k for g, x, k in zip(table["g"], table["x"], table["rank"], strict=True)}
     assert mean_ranks(df.limit(0), "x", ["g"], "rank").count() == 0
+
+
+def test_twins_by_matrices_are_those_of_single_cosines():
+    rng = np.random.default_rng(3)
+    sizes = {c: int(rng.integers(1, 30)) for c in range(700)}
+    base = rng.normal(size=(40, 8))
+    totals = {c: sizes[c] * (base[c % 40] + 0.05 * rng.normal(size=8)) for c in sizes}
+    got = merge.Branches(sizes, totals, {}, merge.MergeRule(rescue=True, rescue_cos=0.9))
+    found = {(a, b) for a, others in got.twins(sorted(sizes)).items() for b in others}
+    small = [c for c in sizes if sizes[c] <= 20]
+    wanted = {(a, b) for a in small for b in small if a < b and got.cos(a, b) >= 0.9}
+    assert found == wanted and len(wanted) > 100
+
+
+def test_a_group_of_three_hundred_thousand_rows_is_one_unit(spark):
+    """One wave does what took one for each guide of a chain."""
+    touch = spark.createDataFrame([(g, c) for g in range(4) for c in (g, g + 1)], "guide long, cluster long")
+    cross = spark.range(300_000).selectExpr("id % 5 as ca", "(id + 1) % 5 as cb", "1L as n_edges").where("ca < cb").union(spark.range(100_000).selectExpr("0L as ca", "1L as cb", "1L as n_edges"))
+    assert cross.count() > 300_000
+    worked = merge._wave(touch, cross, merge.merge_stage.__defaults__[-1]).collect()
+    assert len(worked) == 8 and len({r["unit"] for r in worked}) == 1
