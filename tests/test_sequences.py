@@ -170,3 +170,11 @@ def test_correlations_from_counted_values(spark, monkeypatch, sent):
     for g, own in pd.DataFrame(rows, columns=["g", "a", "b"]).groupby("g"):
         assert got[g] == pytest.approx((own["a"].rank().corr(own["b"].rank()), own["a"].corr(own["b"])), abs=6e-5)
     assert got["flat"] == got["one"] == (None, None)
+
+
+def test_blocks_of_a_family_are_not_shuffled_for_each_other(spark):
+    vec = spark.createDataFrame([("f", str(k), [float(k)]) for k in range(30)], "fam string, name string, x array<double>")
+    index = spark.createDataFrame([("f", str(k), k) for k in range(30)], "fam string, name string, idx int")
+    pairs = distances.euclidean_pairs(vec, index, ["fam"], block_rows=8)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and pairs.count() == 435
