@@ -404,3 +404,15 @@ def test_a_group_of_three_hundred_thousand_rows_is_one_unit(spark):
     assert cross.count() > 300_000
     worked = merge._wave(touch, cross, merge.merge_stage.__defaults__[-1]).collect()
     assert len(worked) == 8 and len({r["unit"] for r in worked}) == 1
+
+
+@pytest.mark.parametrize("part", [1 << 20, 500])
+def test_lists_over_cells_are_the_best_of_all_probed_cells(spark, part):
+    """All cells probed give the exact lists, in one part or several; only the searched rows are repeated, and not by a shuffle."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(150, 4)))], "id long, x array<double>")
+    found = neighbors.cell_neighbors(df, 6, cells=9, probes=9, block_rows=20, broadcast_bytes=part)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
+    key = lambda t: sorted((r.i, r["rank"], r.j) for r in t.collect())
+    assert key(found) == key(neighbors.top_neighbors(df, 6))
